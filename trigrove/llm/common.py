@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Text bytes that a Python worker holds in numpy arrays at once (longer texts are taken alone).
 CHUNK_BYTES = 1 << 20
@@ -53,18 +52,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow_schema(schema: str | T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+KINDS = {
+    "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary(),
+    "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32()),
+}
 
-    return to_arrow_schema(schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))
+
+def arrow_schema(schema: str) -> pa.Schema:
+    """Of a DDL string of the kinds above; needs no session, so tasks can call it."""
+    return pa.schema([pa.field(name, KINDS[kind]) for name, kind in (x.split() for x in schema.split(","))])
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str, chunk: int = CHUNK_BYTES) -> DataFrame:
     """Applies f to record batches cut to about ``chunk`` bytes; f gives columns (dict), several or None."""
-    struct = T.StructType.fromDDL(schema)
 
     def run(batches):
-        target = arrow_schema(struct)
+        target = arrow_schema(schema)
         for batch in batches:
             for part in cut(batch, chunk):
                 got = f(part)
@@ -73,7 +76,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | dict
                 for columns in [got] if isinstance(got, dict) else got:
                     yield pa.RecordBatch.from_arrays([as_arrow(columns[x.name], x.type) for x in target], schema=target)
 
-    return df.mapInArrow(run, struct)
+    return df.mapInArrow(run, schema)
 
 
 def as_arrow(values, kind: pa.DataType) -> pa.Array:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from trigrove.llm import mixing
+from trigrove.llm import mixing, packing, warc
 
 
 def queries() -> dict:
-    return {"op10_mixing": mixing.query}
+    return {
+        "op1_warc": warc.query,
+        "op6_packing": packing.query,
+        "op10_mixing": mixing.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL}
+    return {"op1_warc": warc.SQL, "op10_mixing": mixing.SQL}
