@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from trigrove.llm import mixing, packing, warc
+from trigrove.llm import mixing, packing, toxicity, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.query,
+        "op3_urls": urls.query,
         "op6_packing": packing.query,
+        "op9_toxicity": toxicity.query,
         "op10_mixing": mixing.query,
     }
 
