@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +49,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, file
     """
     heads = written(headers(pages, least), "warc-resolved").select(F.col("page_id").alias("_id"), "payload_bytes", "payload_digest", "refers_to")
     heads = heads.groupBy("_id", "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.max("refers_to").alias("refers_to"))
-    total = heads.agg(F.sum("payload_bytes")).first()[0] or 0
+    total, n = heads.agg(F.sum("payload_bytes"), F.count("*")).first()
     body = F.coalesce(F.col("html"), F.lit(""))
     both = pages.select("page_id", "url", body.alias("body"), F.sha1(F.encode(body, "UTF-8")).alias("_digest"))
     both = both.join(heads, both["page_id"].eqNullSafe(heads["_id"]) & (F.col("_digest") == F.col("payload_digest")))
@@ -68,8 +70,9 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, file
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")),
     )
     record = F.concat(lines, F.lit(END), F.when(revisit, F.lit("")).otherwise(F.col("body")))
-    files = max(1, -(-total // file_bytes))
-    both.select(record.alias("value")).repartition(int(files)).write.option("lineSep", END).text(path)
+    # the join's partitions become files as they are, cut where they hold too many records
+    most = max(1, int(file_bytes * n / max(1, total or 1)))
+    both.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parse(data: bytes):
@@ -99,7 +102,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows: list[tuple] = []
                 held = 0
-                for fields, payload in parse(content.as_py()):
+                data = content.as_py()
+                for fields, payload in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     kind = fields["warc-type"]
                     rows.append((fields["warc-record-id"], kind, fields.get("warc-target-uri"), None if kind == "revisit" else payload, fields["warc-payload-digest"].partition(":")[2], fields.get("warc-refers-to")))
                     held += len(payload)
@@ -109,7 +113,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), target)], schema=target)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
     return files.select("content").mapInArrow(records, schema)
 
 
