@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from trigrove.llm import mixing, packing, toxicity, urls, warc
+from trigrove.llm import mixing, packing, toxicity, urls, vectors, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.query,
+        "op2_vectors": vectors.query,
         "op3_urls": urls.query,
         "op6_packing": packing.query,
         "op9_toxicity": toxicity.query,
