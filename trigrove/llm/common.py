@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,22 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once a session, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_trigrove_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="trigrove-code-")) / "trigrove_code.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(at))
+    sc._trigrove_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
