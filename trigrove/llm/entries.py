@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trigrove.llm import mixing, packing, toxicity, urls, vectors, warc
+from trigrove.llm import mixing, packing, quality, toxicity, urls, vectors, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_vectors": vectors.query,
         "op3_urls": urls.query,
         "op6_packing": packing.query,
+        "op8_quality": quality.query,
         "op9_toxicity": toxicity.query,
         "op10_mixing": mixing.query,
     }
