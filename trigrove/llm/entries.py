@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trigrove.llm import mixing, packing, parsing, quality, toxicity, urls, vectors, warc
+from trigrove.llm import jaccard, mixing, packing, parsing, quality, toxicity, urls, vectors, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc": warc.query,
         "op2_vectors": vectors.query,
         "op3_urls": urls.query,
+        "op4_jaccard": jaccard.query,
         "op5_parsing": parsing.query,
         "op6_packing": packing.query,
         "op8_quality": quality.query,
