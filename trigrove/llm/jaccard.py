@@ -87,7 +87,18 @@ def frequent_shingles(docs: DataFrame, most: int = HOT, least: int = LEAST) -> n
             yield got
 
     total = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = total.orderBy(F.desc("n"), "shingle").limit(most).toPandas()  # at most HOT rows
+    total = written(total, "jaccard-frequent")
+    # the least count of which there are no more than ``most``, from counts by powers of 1.1
+    steps = total.groupBy(F.floor(F.log("n") / math.log(1.1)).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
+    room, cut_off = most, None
+    for r in steps:
+        room -= r["count"]
+        if room < 0:
+            break
+        cut_off = r["step"]
+    if cut_off is None:
+        return np.zeros(0, np.uint64)
+    top = total.where(F.floor(F.log("n") / math.log(1.1)) >= cut_off).toPandas()  # at most HOT rows
     top = top.sort_values(["n", "shingle"])
     return top["shingle"].to_numpy(np.int64).view(np.uint64)
 

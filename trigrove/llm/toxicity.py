@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import map_arrow, read
+from trigrove.llm.common import map_arrow, read, sample_of
 
 #: Labelled rows that the lexicon is learned from at most (a sample by the id's hash; a documented bound).
 FIT_ROWS = 12_000
@@ -165,7 +165,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     Rows with a null text, id or label are left out. Chosen ids are few, so only their texts move.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = sample_of(known, most, "doc_id")
     ids = [(r["doc_id"], r["y"]) for r in chosen.collect()]
     if not ids:
         return []

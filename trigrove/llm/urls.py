@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import map_arrow, read, written
+from trigrove.llm.common import map_arrow, read, sample_of, written
 
 #: (verdict, host suffix, path prefix); the longest that fits wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -181,7 +181,7 @@ def judged(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, mos
         known = parts.select("url", "host", "path", F.coalesce(F.col("verdict") == "block", seeded).cast("int").alias("y"))
     else:
         known = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("int").alias("y"))
-    rows = known.where("y IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(most).collect()
+    rows = sample_of(known.where("y IS NOT NULL"), most, "url").collect()
     model = learn([(r["url"], r["host"], r["path"], r["y"]) for r in rows])
 
     def run(batch: pa.RecordBatch) -> dict:

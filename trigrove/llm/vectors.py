@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, components, read, written
+from trigrove.llm.common import arrow_schema, components, read, sample_of, written
 
 THRESHOLD = 0.95
 #: Vectors that centroids and codebooks are fitted on at most (the smallest hashes; a documented bound).
@@ -201,7 +201,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
     if lengths:
         dims = max(lengths, key=lambda k: (lengths[k], k))
         fitting = reps.where(F.size("embedding") == dims)
-        sample = fitting.orderBy(F.xxhash64("rep"), "rep").limit(fit_rows).select("embedding").toPandas()["embedding"]
+        sample = sample_of(fitting, fit_rows, "rep").select("embedding").toPandas()["embedding"]
         lists = int(max(1, min(4096, -(-lengths[dims] // list_rows))))
         index = fit(unit(np.stack(list(sample)))[1].astype(np.float32), lists)
         links = written(pairs(fitting, index, threshold, probes), "vectors-links")
