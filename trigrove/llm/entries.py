@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trigrove.llm import jaccard, mixing, packing, parsing, quality, toxicity, urls, vectors, warc
+from trigrove.llm import jaccard, mixing, packing, parsing, quality, suffixes, toxicity, urls, vectors, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_jaccard": jaccard.query,
         "op5_parsing": parsing.query,
         "op6_packing": packing.query,
+        "op7_suffixes": suffixes.query,
         "op8_quality": quality.query,
         "op9_toxicity": toxicity.query,
         "op10_mixing": mixing.query,
