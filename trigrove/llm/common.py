@@ -65,6 +65,11 @@ def delete(spark: SparkSession, df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A join side that grows with the corpus: joined by sorting both sides, never broadcast, at every size."""
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -253,11 +258,11 @@ def components(spark: SparkSession, links: DataFrame, name: str) -> DataFrame:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         low = written(low, f"{name}-low")  # a join of two plain exchanges: Spark splits a hub's rows
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(growing(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, f"{name}-large")
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(growing(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
         small = written(small, f"{name}-small")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, components, cut, map_arrow, mix, read, shingles, text_bytes, written
+from trigrove.llm.common import arrow_schema, components, cut, growing, map_arrow, mix, read, shingles, text_bytes, written
 
 #: Link at 100 * intersection >= PERCENT * union of shingles of WIDTH words.
 PERCENT, WIDTH = 75, 5
@@ -185,11 +185,11 @@ def near_in_list(sizes: np.ndarray, samples: list[bytes]) -> list[tuple[int, int
 def candidate_groups(reps: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, grp): representatives joined by chains of possible links. Those without one are left out."""
     spark = reps.sparkSession
-    own = written(keys.join(reps.select("doc_id"), "doc_id", "left_semi"), "jaccard-keys")
+    own = written(keys.join(growing(reps.select("doc_id")), "doc_id", "left_semi"), "jaccard-keys")
     entries = own.select("doc_id", F.explode("keys").alias("key"))
     shared = written(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "jaccard-shared")
-    listed = written(entries.join(shared, "key", "left_semi"), "jaccard-entries")
-    rows = listed.join(own.select("doc_id", "n", "sample"), "doc_id")
+    listed = written(entries.join(growing(shared), "key", "left_semi"), "jaccard-entries")
+    rows = listed.join(growing(own.select("doc_id", "n", "sample")), "doc_id")
 
     def run(batches):
         target = arrow_schema("a long, b long")
@@ -324,7 +324,7 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     of blocks is compared once, so however large a group is, a task holds two blocks.
     """
     step = math.log(100 / PERCENT)
-    texts = docs.select("doc_id", "text").join(members, "doc_id").withColumn("class", F.floor(F.log("n") / step).cast("int"))
+    texts = docs.select("doc_id", "text").join(growing(members), "doc_id").withColumn("class", F.floor(F.log("n") / step).cast("int"))
     texts = written(texts, "jaccard-members")
     counts = texts.groupBy("grp", "class").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).select("grp", "class", "blocks")
     counts = written(counts, "jaccard-classes")
@@ -401,13 +401,13 @@ def joined(docs: DataFrame) -> DataFrame:
     classes = written(usable.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-reps")
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "copies")
     keys = keyed(docs, frequent_shingles(docs)).dropDuplicates(["doc_id"])
-    groups = written(candidate_groups(reps, keys).join(reps, "doc_id"), "jaccard-groups")
+    groups = written(candidate_groups(reps, keys).join(growing(reps), "doc_id"), "jaccard-groups")
     links = written(exact_links(docs, groups), "jaccard-links")
     reached = components(spark, links.where("b IS NOT NULL").select("a", "b"), "jaccard").select(F.col("id").alias("rep"), "component")
     counted = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     told = classes.join(reached, "rep", "left").join(counted, "rep", "left")
     told = written(told.select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-told")
-    out = own.join(told, ["n", "sig1", "sig2"], "left")
+    out = own.join(growing(told), ["n", "sig1", "sig2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -418,5 +418,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all columns; rows without an id stay."""
     found = written(joined(docs).where("component_id = doc_id").select("doc_id").distinct(), "jaccard-kept")
-    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
+    kept = docs.where("doc_id IS NOT NULL").join(growing(found), "doc_id", "left_semi")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
