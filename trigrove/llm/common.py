@@ -53,7 +53,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, so a lost executor costs no rework."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    # the shuffles behind it are used no more, so their files go at once and not when the driver collects its garbage
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import read, written
+from trigrove.llm.common import growing, read, written
 
 #: Weights of the sources in code-point order, repeating.
 CYCLE = (5, 2, 1)
@@ -105,7 +105,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixed(docs).where("taken > 0")
     passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
     reached = taken.groupBy("draw").agg(F.max(passes).alias("_passes"), F.min("position").alias("_position"))
-    kept = docs.withColumn("_draw", draw_of("doc_id")).join(reached, F.col("draw") == F.col("_draw"))
+    kept = docs.withColumn("_draw", draw_of("doc_id")).join(growing(reached), F.col("draw") == F.col("_draw"))
     kept = kept.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes"))))
     # a later pass follows an earlier one by about the time that one pass takes
     at = F.col("_position") + (F.col("_pass") - 1) * (1 - F.col("_position")) / F.col("_passes")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import BASE, CHUNK_BYTES, arrow_schema, cut, mix, powers, prefix_hash, range_hash, read, text_bytes, written
+from trigrove.llm.common import BASE, CHUNK_BYTES, arrow_schema, cut, growing, mix, powers, prefix_hash, range_hash, read, text_bytes, written
 
 #: Bytes of a repeated passage, at least, and of the grams whose least hash anchors a window of that length.
 LENGTH, GRAM = 100, 32
@@ -247,16 +247,16 @@ def covers(docs: DataFrame) -> DataFrame:
     begins, more, again = F.shiftright("at", 9), F.shiftright(F.col("at").bitwiseAND(0x1FE), 1), F.col("at").bitwiseAND(1)
     shared = occurrences(docs).groupBy("h").agg(F.min("rid").alias("first_rid"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = written(shared, "suffixes-shared")
-    found = written(occurrences(docs).join(shared, "h").select("h", "c", "rid", "at", "first_rid", (F.col("c1") != F.col("c2")).alias("several")), "suffixes-found")
+    found = written(occurrences(docs).join(growing(shared), "h").select("h", "c", "rid", "at", "first_rid", (F.col("c1") != F.col("c2")).alias("several")), "suffixes-found")
     whole = [begins.alias("s"), (begins + more + LENGTH).alias("e")]
     plain = found.where((again == 1) | (~F.col("several") & (F.col("rid") != F.col("first_rid")))).select("rid", *whole)
     several = found.where(F.col("several") & (again == 0)).select("h", "c", "rid", "at")
     kinds = written(several.groupBy("h", "c").agg(F.min(F.struct("rid", "at")).alias("m"), F.count("*").alias("n")).select("h", "c", "m.rid", "m.at", "n"), "suffixes-kinds")
-    copies = several.join(kinds.where("n > 1").select("h", "c", F.col("rid").alias("own")), ["h", "c"]).where("rid <> own").select("rid", *whole)
+    copies = several.join(growing(kinds.where("n > 1").select("h", "c", F.col("rid").alias("own"))), ["h", "c"]).where("rid <> own").select("rid", *whole)
     sizes = written(kinds.groupBy("h").agg(F.count("*").alias("m")).where(f"m > {CONTEXTS}").select("h", F.lit(True).alias("hot")), "suffixes-hot")
     wanted = kinds.join(sizes, "h", "left").select("rid", F.struct("h", begins.alias("first"), more.alias("more"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("w"))
-    fetched = docs.select("rid", "text").join(wanted, "rid").select("rid", "text", F.col("w.h").alias("hs"), F.col("w.first").alias("firsts"), F.col("w.more").alias("mores"), F.col("w.hot").alias("hots"))
+    fetched = docs.select("rid", "text").join(growing(wanted), "rid").select("rid", "text", F.col("w.h").alias("hs"), F.col("w.first").alias("firsts"), F.col("w.more").alias("mores"), F.col("w.hot").alias("hots"))
 
     def fetch(batches):
         target = arrow_schema("h long, rid long, first long, context binary")
@@ -307,7 +307,7 @@ def spans(docs: DataFrame) -> DataFrame:
     own = numbered(docs)
     texts = own.select("rid", F.coalesce("text", F.lit("")).alias("text"))
     by_text = covers(texts).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
-    return own.join(by_text, "rid", "left")
+    return own.join(growing(by_text), "rid", "left")
 
 
 def digested(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, components, read, sample_of, written
+from trigrove.llm.common import arrow_schema, components, growing, read, sample_of, written
 
 THRESHOLD = 0.95
 #: Vectors that centroids and codebooks are fitted on at most (the smallest hashes; a documented bound).
@@ -213,7 +213,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
     by_class = written(by_class.select("embedding", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vectors-classes")
     # copies of one vector are many: the join's sides are dealt by Spark, which splits a hot vector
     plain = own.withColumn("embedding", F.transform("embedding", lambda v: v.cast("double") + 0.0))
-    joined = plain.join(by_class, "embedding", "left")
+    joined = plain.join(growing(by_class), "embedding", "left")
     own_id = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     out = joined.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), own_id.alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

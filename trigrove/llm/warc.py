@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, fresh_path, read, written
+from trigrove.llm.common import arrow_schema, fresh_path, growing, read, written
 
 #: Payloads of fewer bytes are always stored whole.
 LEAST_REVISIT = 1000
@@ -52,7 +52,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, file
     total, n = heads.agg(F.sum("payload_bytes"), F.count("*")).first()
     body = F.coalesce(F.col("html"), F.lit(""))
     both = pages.select("page_id", "url", body.alias("body"), F.sha1(F.encode(body, "UTF-8")).alias("_digest"))
-    both = both.join(heads, both["page_id"].eqNullSafe(heads["_id"]) & (F.col("_digest") == F.col("payload_digest")))
+    both = both.join(growing(heads), both["page_id"].eqNullSafe(heads["_id"]) & (F.col("_digest") == F.col("payload_digest")))
     revisit = F.col("refers_to").isNotNull()
     # a URL must not break the header
     target = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20\x7F]", "")
