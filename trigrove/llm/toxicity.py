@@ -21,7 +21,7 @@ FIT_ROWS = 12_000
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 FULL_WIDTH = {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0xFF21 + k): chr(97 + k) for k in range(26)}
-ZERO_WIDTH = "​‌‍⁠﻿­"
+ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 _FOLD = str.maketrans(HOMOGLYPHS | FULL_WIDTH | {c: None for c in ZERO_WIDTH} | {k.upper(): v for k, v in HOMOGLYPHS.items() if k.upper() != k})
 _DIGITS = str.maketrans(SUBSTITUTES)
 _MIXED = re.compile(r"(?=[^\W\d_]*[\d@$!])(?=[\d@$!]*[^\W\d_])[\w@$!]*\w")
