@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trigrove.functions.grams import gram_column, grams_of
+from trigrove.sources.code import ship
 
 #: Postings are kept in folders of the leading bits of the gram.
 BUCKET_BITS = 4
@@ -20,6 +21,8 @@ def build(files: DataFrame, types: list[str], realign: bool = False) -> DataFram
     A file's grams are distinct within the task that reads it, so nothing is shuffled here.
     """
 
+    ship(files.sparkSession)
+
     def run(batches):
         target = pa.schema([("itype", pa.string()), ("gram", pa.int32()), ("dataset_id", pa.string()), ("file_id", pa.int32())])
         for batch in batches:
