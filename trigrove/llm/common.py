@@ -50,12 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a written() table that is needed no longer."""
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def delete(*tables: DataFrame) -> None:
+    """Removes the files of written() tables that are needed no longer."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def growing(df: DataFrame) -> DataFrame:
@@ -259,8 +260,7 @@ def components(spark: SparkSession, links: DataFrame, name: str) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
         small = written(small, f"{name}-small")
-        delete(spark, edges)
-        delete(spark, large)
+        delete(edges, large)
         edges = small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:

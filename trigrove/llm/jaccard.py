@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, components, cut, growing, map_arrow, mix, read, shingles, text_bytes, written
+from trigrove.llm.common import arrow_schema, components, cut, delete, growing, map_arrow, mix, read, shingles, text_bytes, written
 
 #: Link at 100 * intersection >= PERCENT * union of shingles of WIDTH words.
 PERCENT, WIDTH = 75, 5
@@ -224,6 +224,7 @@ def candidate_groups(reps: DataFrame, keys: DataFrame) -> DataFrame:
     edges = rows.select("key", "doc_id", "n", "sample").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "a long, b long")
     found = components(spark, edges, "jaccard-candidates")
     found = written(found, "jaccard-reached")
+    delete(own, shared, listed)
     roots = found.select(F.col("component").alias("id"), "component").distinct()
     return found.unionByName(roots).select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
 
@@ -382,7 +383,10 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
         if out:
             yield batch_out()
 
-    return jobs.repartition("grp", "class", "low", "high").sortWithinPartitions("grp", "class", "low", "high", "doc_id").mapInArrow(run, "a long, b long, links long")
+    sorted_jobs = jobs.repartition("grp", "class", "low", "high").sortWithinPartitions("grp", "class", "low", "high", "doc_id")
+    links = written(sorted_jobs.mapInArrow(run, "a long, b long, links long"), "jaccard-links")
+    delete(texts, counts)
+    return links
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -402,7 +406,7 @@ def joined(docs: DataFrame) -> DataFrame:
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "copies")
     keys = keyed(docs, frequent_shingles(docs)).dropDuplicates(["doc_id"])
     groups = written(candidate_groups(reps, keys).join(growing(reps), "doc_id"), "jaccard-groups")
-    links = written(exact_links(docs, groups), "jaccard-links")
+    links = exact_links(docs, groups)
     reached = components(spark, links.where("b IS NOT NULL").select("a", "b"), "jaccard").select(F.col("id").alias("rep"), "component")
     counted = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     told = classes.join(reached, "rep", "left").join(counted, "rep", "left")

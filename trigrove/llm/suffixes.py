@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import BASE, CHUNK_BYTES, arrow_schema, cut, growing, mix, powers, prefix_hash, range_hash, read, text_bytes, written
+from trigrove.llm.common import BASE, CHUNK_BYTES, arrow_schema, cut, delete, growing, mix, powers, prefix_hash, range_hash, read, text_bytes, written
 
 #: Bytes of a repeated passage, at least, and of the grams whose least hash anchors a window of that length.
 LENGTH, GRAM = 100, 32
@@ -276,7 +276,9 @@ def covers(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), target)], schema=target)
 
     apart = compared(fetched.mapInArrow(fetch, "h long, rid long, first long, context binary"))
-    return written(plain.unionByName(copies).unionByName(apart), "suffixes-covers")
+    out = written(plain.unionByName(copies).unionByName(apart), "suffixes-covers")
+    delete(shared, found, kinds, sizes)
+    return out
 
 
 def numbered(docs: DataFrame) -> DataFrame:

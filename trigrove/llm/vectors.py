@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, components, growing, read, sample_of, written
+from trigrove.llm.common import arrow_schema, components, delete, growing, read, sample_of, written
 
 THRESHOLD = 0.95
 #: Vectors that centroids and codebooks are fitted on at most (the smallest hashes; a documented bound).
@@ -182,7 +182,9 @@ def pairs(reps: DataFrame, index: Index, threshold: float = THRESHOLD, probes: i
             yield got
 
     found = dealt.repartition("list", "block").sortWithinPartitions("list", "block", "role").mapInArrow(compare, "a long, b long")
-    return found.distinct()
+    links = written(found.distinct(), "vectors-links")
+    delete(rows)
+    return links
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, list_rows: int = LIST_ROWS, probes: int = PROBES) -> DataFrame:
@@ -204,7 +206,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
         sample = sample_of(fitting, fit_rows, "rep").select("embedding").toPandas()["embedding"]
         lists = int(max(1, min(4096, -(-lengths[dims] // list_rows))))
         index = fit(unit(np.stack(list(sample)))[1].astype(np.float32), lists)
-        links = written(pairs(fitting, index, threshold, probes), "vectors-links")
+        links = pairs(fitting, index, threshold, probes)
     counts = reps.select("rep", "n")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(counts.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
