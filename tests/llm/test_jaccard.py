@@ -24,6 +24,12 @@ def test_empty_and_null_ids(spark):
     assert sorted(str(tuple(r)) for r in got) == ["(4, 56, 4, 0)", "(None, 56, None, 0)"]
 
 
+def test_repeated_rows(spark):
+    near = BASE.replace("wordy59", "changed")
+    got = J.joined(spark.createDataFrame([(1, BASE), (1, BASE), (2, near), (2, near), (3, "else")], "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 56, 1, 3), (1, 56, 1, 3), (2, 56, 1, 3), (2, 56, 1, 3), (3, 1, 3, 0)]
+
+
 def test_groups_of_near_copies_and_common_passages(spark):
     rng = random.Random(3)
     rows, n = [], 0

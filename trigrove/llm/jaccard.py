@@ -373,6 +373,8 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
                 if row[:4] != job:
                     close()
                     job, ids, sides, copies, texts_ = row[:4], [], [], [], []
+                if ids and ids[-1] == row[5]:
+                    continue  # a repeated row
                 sides.append(row[4])
                 ids.append(row[5])
                 copies.append(row[6])
