@@ -329,16 +329,16 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     texts = written(texts, "jaccard-members")
     counts = texts.groupBy("grp", "class").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).select("grp", "class", "blocks")
     counts = written(counts, "jaccard-classes")
-    home = texts.join(counts, ["grp", "class"])
+    home = texts.join(growing(counts), ["grp", "class"])
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     inside = home.withColumn("mine", mine).withColumn("other", other).select(
         "grp", "class", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), F.col("mine").alias("side"), "doc_id", "copies", "text")
     # to the next class as visitors, where there is one
     above = counts.select("grp", (F.col("class") - 1).alias("class"), F.col("blocks").alias("there"))
-    visiting = home.join(above, ["grp", "class"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("there") - 1))).select(
+    visiting = home.join(growing(above), ["grp", "class"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("there") - 1))).select(
         "grp", (F.col("class") + 1).alias("class"), (-1 - F.col("mine")).alias("low"), F.col("other").alias("high"), (-1 - F.col("mine")).alias("side"), "doc_id", "copies", "text")
-    own = home.withColumn("mine", mine).join(counts.select("grp", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below")), ["grp", "class"])
+    own = home.withColumn("mine", mine).join(counts.select("grp", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below")).hint("merge"), ["grp", "class"])
     visited = own.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("below") - 1))).select(
         "grp", "class", (-1 - F.col("low")).alias("low"), F.col("mine").alias("high"), F.col("mine").alias("side"), "doc_id", "copies", "text")
     jobs = inside.unionByName(visiting).unionByName(visited)
