@@ -20,6 +20,8 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main([root, "--json", "-c", "nonsense"]) == 1
     assert json.loads(capsys.readouterr().out)["type"] == "error"
     assert cli.main([root, "--compact", "all", "--trim"]) == 0
+    assert cli.main([root, "--bench", "3", "--bench-bytes", "2000"]) == 0
+    assert capsys.readouterr().out.count(" ms") == 3
     monkeypatch.setattr("sys.stdin", io.StringIO('select "needle" & "hay";\n\nping\n'))
     assert cli.main([root]) == 0
     out = capsys.readouterr().out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -15,6 +16,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--compact", choices=["all", "smart"], help="compact until nothing is merged")
     parser.add_argument("--trim", action="store_true", help="list folders that the catalog doesn't know")
     parser.add_argument("--remove", action="store_true", help="with --trim: remove them")
+    parser.add_argument("--bench", type=int, metavar="N", help="index N files of random bytes (gram3), three times, and print milliseconds")
+    parser.add_argument("--bench-bytes", type=int, default=1_000_000, help="size of each of these files")
     parser.add_argument("--json", action="store_true", help="print responses as JSON")
     args = parser.parse_args(argv)
 
@@ -32,15 +35,35 @@ def main(argv: list[str] | None = None) -> int:
         print(engine.compact_fully(args.compact == "smart"), "merges")
     if args.trim:
         print(*engine.catalog.orphans(args.remove), sep="\n")
+    if args.bench:
+        for _ in range(3):
+            started = time.monotonic()
+            name = engine.index(random_files(spark, args.bench, args.bench_bytes), ["gram3"], check=False)
+            print(int(1000 * (time.monotonic() - started)), "ms")
+            engine.execute(f'dataset "{name}" drop;')
     if args.command:
         return show(engine, args.command, args.json)
-    if not (args.new or args.compact or args.trim):
+    if not (args.new or args.compact or args.trim or args.bench):
         for line in sys.stdin:
             if line.strip():
                 show(engine, line.strip(), args.json)
     return 0
 
 
+def random_files(spark, count: int, size: int):
+    """(path, content) of ``count`` rows of random bytes, the same each time."""
+    import numpy as np
+    import pyarrow as pa
+
+    def make(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                data = np.random.default_rng(k).integers(0, 256, size, dtype=np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([f"random/{k}"]), pa.array([data], pa.binary())], names=["path", "content"])
+
+    return spark.range(count).mapInArrow(make, "path string, content binary")
+
+
 def show(engine, text: str, as_json: bool) -> int:
     response = engine.execute(text if text.rstrip().endswith(";") else text + ";")
     if as_json:
