@@ -105,21 +105,28 @@ def learn(texts: list[str | None], toxic: list[int], least: int = 4, ratio: floa
     Weights are log odds with half a text added. A phrase of a term and its neighbour that toxic texts don't have
     is an exception. The logistic is fitted to the same texts. Without both labels the lexicon is empty.
     """
-    with_it, without = Counter(), Counter()
-    pairs_with, pairs_without = Counter(), Counter()
     folded = [fold(t or "") for t in texts]
-    counts = [0, 0]
-    for text, label in zip(folded, toxic, strict=True):
-        names = text.split()
-        seen = {f"{w} " for w in names} | {w[:k] for w in names for k in range(4, min(8, len(w)) + 1)}
-        (with_it if label else without).update(seen)
-        counts[bool(label)] += 1
+    marked = [t for t, label in zip(folded, toxic, strict=True) if label]
+    clean = [t for t, label in zip(folded, toxic, strict=True) if not label]
+    counts = [len(clean), len(marked)]
     if not all(counts):
         return Lexicon({}, bias=-2.2 if counts[0] or not counts[1] else 2.2)
+
+    def parts(text: str) -> set[str]:
+        names = set(text.split())
+        return {f"{w} " for w in names} | {w[:k] for w in names for k in range(4, min(8, len(w)) + 1)}
+
+    with_it = Counter()
+    for text in marked:
+        with_it.update(parts(text))
+    with_it = Counter({t: n for t, n in with_it.items() if n >= least})
+    without = Counter()  # only of terms that can be chosen: the clean texts' others are many
+    for text in clean:
+        without.update(parts(text) & with_it.keys())
     odds = lambda term: math.log((with_it[term] + 0.5) / (counts[1] + 1)) - math.log((without[term] + 0.5) / (counts[0] + 1))
     terms = {}
     for term, n in with_it.items():
-        if n >= least and (w := odds(term)) >= ratio:
+        if (w := odds(term)) >= ratio:
             terms[term] = w
     # a longer term says no more than a beginning of it that is as pure
     lean = {}
@@ -130,6 +137,7 @@ def learn(texts: list[str | None], toxic: list[int], least: int = 4, ratio: floa
             lean[term] = w
     lexicon = Lexicon(lean)
     stems = {t.rstrip() for t in lean}
+    pairs_with, pairs_without = Counter(), Counter()
     for text, label in zip(folded, toxic, strict=True):
         names = text.split()
         hit = [any(w[:k] in stems for k in range(2, len(w) + 1)) for w in names]
