@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from trigrove.llm import vectors
 
@@ -45,3 +47,31 @@ def test_empty_and_tiny(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted((str(tuple(r)[:3])) for r in vectors.near_duplicates(df).collect())
     assert got == sorted(["(1, 2, 1)", "(1, 2, 1)", "(2, 2, 1)", "(3, 0, 3)", "(4, 0, 4)", "(None, None, None)"])
+
+
+def table(spark, folder, ids, rows):
+    """A table of vec_id and embedding, written and read: too many rows for createDataFrame."""
+    pq.write_table(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32()))}), f"{folder}/vectors.parquet")
+    return spark.read.parquet(f"{folder}/vectors.parquet")
+
+
+def check_all_links(got, x):
+    """Every row of x against every other, and the component that the links reach."""
+    u = x.astype(np.float32).astype(float)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    want = np.concatenate([(u[a : a + 2000] @ u.T >= 0.95).sum(1) for a in range(0, len(u), 2000)]) - 1
+    assert [got[k][0] for k in range(len(u))] == want.tolist()
+    return want
+
+
+def test_group_of_a_third_of_the_rows(spark, tmp_path):
+    """Distinct near copies that lie in far more lists than a few: all their links count."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30_000, 64))
+    group = rng.permutation(30_000)[:10_000]
+    x[group] = rng.normal(size=64) + np.sqrt(0.045) * rng.normal(size=(10_000, 64))
+    df = table(spark, tmp_path, range(len(x)), list(x.astype(np.float32)))
+    got = {r["vec_id"]: r[1:] for r in vectors.near_duplicates(df).collect()}
+    want = check_all_links(got, x)
+    assert 4000 < np.median(want[group]) < 9900
+    assert {got[k][1] for k in group if want[k]} == {min(k for k in group if want[k])}

@@ -9,17 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, components, delete, growing, read, sample_of, written
+from trigrove.llm.common import arrow_schema, components, delete, growing, mix, read, sample_of, written
 
 THRESHOLD = 0.95
 #: Vectors that centroids and codebooks are fitted on at most (the smallest hashes; a documented bound).
 FIT_ROWS = 20_000
-#: Vectors for each coarse list, about, and lists that a query looks into at most.
-LIST_ROWS, PROBES = 128, 12
+#: Vectors for each coarse list, about.
+LIST_ROWS = 128
 #: Subspaces of the residual codes and codewords of each.
 SUBSPACES, CODEWORDS = 16, 64
-#: Rows of a list that one block holds; a hot list has many blocks, each compared in a task's memory.
-BLOCK_ROWS = 2048
+#: Rows that one block of lists holds, about, and blocks that there are at least where lists suffice. A hot list has
+#: many blocks; each block is compared in a task's memory.
+BLOCK_ROWS, BLOCKS = 2048, 48
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -39,40 +40,65 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(half - x[a : a + 4096] @ c.T).argmin(1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
 
 
+def along(c: np.ndarray) -> np.ndarray:
+    """An order of the rows of c in which near rows are near: halves along the direction of most variance."""
+    if len(c) < 3:
+        return np.arange(len(c))
+    x = c - c.mean(0)
+    v = x[(x * x).sum(1).argmax()]
+    for _ in range(4):
+        v = (x @ v) @ x
+        v = v / max(float(np.sqrt(v @ v)), 1e-30)
+    order = (x @ v).argsort(kind="stable")
+    low, high = np.split(order, [len(c) // 2])
+    return np.concatenate([low[along(c[low])], high[along(c[high])]])
+
+
 @dataclass
 class Index:
     """Coarse centroids and a codebook for each subspace of the residuals."""
 
     coarse: np.ndarray
     books: np.ndarray  # subspace, codeword, dimension
-    #: Bound on a code's squared error that nearly all training residuals meet: slack of the first cut.
-    slack: float
 
     def codes(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         residual = x - self.coarse[at]
         width = self.books.shape[2]
         return np.stack([nearest(residual[:, m * width : (m + 1) * width], b) for m, b in enumerate(self.books)], 1).astype(np.uint8)
 
-    def tables(self, x: np.ndarray, at: int) -> np.ndarray:
-        """Squared distances of each query's residual to every codeword: query, subspace, codeword."""
-        residual = (x - self.coarse[at]).reshape(len(x), len(self.books), -1)
-        return ((residual[:, :, None, :] - self.books[None]) ** 2).sum(3)
+    def back(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that codes stand for."""
+        return np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
+
+    def tables(self, x: np.ndarray) -> np.ndarray:
+        """Products of each query with every codeword: subspace, codeword, query. They serve for all lists."""
+        return np.einsum("mkd,qmd->mkq", self.books, x.reshape(len(x), len(self.books), -1), optimize=True)
+
+    def reachable(self, x: np.ndarray, own: np.ndarray, lists: np.ndarray, radius: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each list can hold a vector within ``reach`` of each query, and the query's squared distance to it.
+
+        A list's vectors lie within its radius of its centroid, and on that side of the plane halfway to the
+        query's own centroid. Margins are far above the errors of single precision.
+        """
+        c, mine = self.coarse[lists], self.coarse[own]
+        norm = (c * c).sum(1)
+        far = np.maximum((x * x).sum(1)[:, None] + norm - 2 * (x @ c.T), 0)
+        apart = np.sqrt(np.maximum((mine * mine).sum(1)[:, None] + norm - 2 * (mine @ c.T), 0))
+        beyond = far - ((x - mine) ** 2).sum(1)[:, None] <= 2 * reach * apart + 4e-3
+        return beyond & (np.sqrt(far) <= reach + radius[lists] + 2e-3), far
 
 
 def fit(x: np.ndarray, lists: int, seed: int = 7) -> Index:
     """An index of the rows of x, which have unit length. Dimensions must be a multiple of the subspaces."""
     rng = np.random.default_rng(seed)
     coarse = kmeans(x, lists, 8, rng)
+    coarse = coarse[along(coarse)]
     at = nearest(x, coarse)
     residual = x - coarse[at]
     parts = SUBSPACES if x.shape[1] % SUBSPACES == 0 else 1
     width = x.shape[1] // parts
     books = np.stack([kmeans(residual[:, m * width : (m + 1) * width], CODEWORDS, 8, rng) for m in range(parts)])
-    index = Index(coarse, books, 0.0)
-    codes = index.codes(x, at)
-    back = np.concatenate([books[m][codes[:, m]] for m in range(parts)], 1)
-    index.slack = float(np.quantile(((residual - back) ** 2).sum(1), 0.999)) if len(x) else 0.0
-    return index
+    return Index(coarse, books)
 
 
 def unit(rows) -> tuple[np.ndarray, np.ndarray]:
@@ -92,106 +118,205 @@ def classes(vectors: DataFrame) -> DataFrame:
     return plain.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
 
 
-def pairs(reps: DataFrame, index: Index, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
-    """(a, b), a < b, of representatives with cosine >= threshold that share a probed list."""
+def forest(i: np.ndarray, j: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer links with the same components as those between i of ``left`` nodes and j of ``right`` nodes after them."""
+    label, j = np.arange(left + right), j + left
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == label).all():
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            return moved, label[moved]
+        label = new
+
+
+ROWS = "block int, role int, list int, rep long, n long, embedding array<double>"
+
+
+def pairs(reps: DataFrame, index: Index, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Of all pairs of equally long representatives with cosine >= threshold: rows (a, b, null) that link the same
+    components, and rows (a, null, n) whose sum over a is the number of rows that representative a links with.
+
+    Every list that can hold a linked vector is asked, so no pair is left out. Lists lie in blocks, and of two blocks
+    one asks the other.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
+    def settle(batches):
+        target = arrow_schema("list int, far double, rep long, n long, embedding array<double>")
+        for batch in batches:
+            if batch.num_rows:
+                u = unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))[1].astype(np.float32)
+                own = nearest(u, index.coarse)
+                far = np.sqrt(((u - index.coarse[own]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(far, pa.float64()), *(batch.column(k) for k in ("rep", "n", "embedding"))], schema=target)
+
+    rows = written(reps.select("rep", "n", "embedding").mapInArrow(settle, "list int, far double, rep long, n long, embedding array<double>"), "vectors-lists")
+    radius, size = np.zeros(len(index.coarse), np.float32), np.zeros(len(index.coarse), np.int64)
+    for r in rows.groupBy("list").agg(F.max("far").alias("far"), F.count("*").alias("size")).collect():  # at most a row for each list
+        radius[r["list"]], size[r["list"]] = r["far"], r["size"]
+    filled = np.flatnonzero(size)
+    room = max(1, min(block_rows, -(-int(size.sum()) // BLOCKS)))
+    # lists that follow each other share a block while there is room; a list of more rows than that has several
+    first, held = [], room + 1
+    for k, n in enumerate(size[filled].tolist()):
+        if held + n > room:
+            first.append(k)
+            held = 0
+        held += n
+    splits = np.maximum(1, -(-np.add.reduceat(size[filled], first) // room)) if first else np.zeros(0, int)
+    group = np.zeros(len(size), int)
+    group[filled] = np.searchsorted(first, np.arange(len(filled)), "right") - 1
+    base = np.cumsum(splits) - splits
+    blocks = np.arange(int(splits.sum()))
 
     def spread(batches):
-        """Each vector once as a row of its own list and once as a query of every list it probes, all in blocks."""
-        target = arrow_schema("list int, role int, rep long, embedding array<double>")
+        """Each vector as a row of its own block, and as a query of every block that it asks."""
+        target = arrow_schema(ROWS)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            x = flat.reshape(batch.num_rows, -1)
-            u = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
-            far = (index.coarse * index.coarse).sum(1)[None] - 2 * (u @ index.coarse.T)
-            k = min(probes, far.shape[1])
-            near = np.argpartition(far, k - 1, axis=1)[:, :k]
-            own = far.argmin(1)
-            reach = far[np.arange(len(u)), own][:, None] + 0.75
-            keep = np.take_along_axis(far, near, 1) <= reach
-            who, which = np.nonzero(keep)
-            lists = np.concatenate([own, near[who, which]])
-            rows = np.concatenate([np.arange(len(u)), who])
-            role = np.concatenate([np.zeros(len(u), np.int32), np.ones(len(who), np.int32)])
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(rows) + 1) * x.shape[1], x.shape[1], dtype=np.int32)), pa.array(x[rows].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(role), batch.column("rep").take(pa.array(rows)), vectors], schema=target)
-
-    rows = written(reps.select("rep", "embedding").mapInArrow(spread, "list int, role int, rep long, embedding array<double>"), "vectors-lists")
-    sizes = rows.where("role = 0").groupBy("list").agg(F.count("*").alias("size"))
-    split = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    sized = rows.join(F.broadcast(sizes), "list")  # at most a row for each list
-    # a row of a list goes to one of its blocks; a query goes to all of them
-    home = sized.where("role = 0").withColumn("block", F.pmod(F.xxhash64("rep"), split).cast("int"))
-    asked = sized.where("role = 1").withColumn("block", F.explode(F.sequence(F.lit(0), split - 1)))
-    dealt = home.unionByName(asked).select("list", "block", "role", "rep", "embedding")
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                own, rep = (part.column(k).to_numpy() for k in ("list", "rep"))
+                at = group[own]
+                home = base[at] + (mix(rep.astype(np.uint64)) % splits[at].astype(np.uint64)).astype(int)
+                ok, _ = index.reachable(unit(x)[1].astype(np.float32), own, filled, radius, reach)
+                asked = np.repeat(np.logical_or.reduceat(ok, first, axis=1), splits, axis=1)
+                # of two blocks, the lower one asks where their sum is even
+                asked &= (home[:, None] < blocks) ^ ((home[:, None] + blocks) % 2 == 1)
+                asked[np.arange(len(x)), home] = False
+                who, which = np.nonzero(asked)
+                who, which = np.concatenate([np.arange(len(x)), who]), np.concatenate([home, which])
+                role = np.repeat([0, 1], [len(x), len(who) - len(x)])
+                step = max(1, (1 << 23) // (8 * x.shape[1]))
+                for a in range(0, len(who), step):
+                    w = who[a : a + step]
+                    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(w) + 1) * x.shape[1], x.shape[1], dtype=np.int32)), pa.array(x[w].ravel()))
+                    ids = [part.column(k).take(pa.array(w)) for k in ("list", "rep", "n")]
+                    yield pa.RecordBatch.from_arrays([pa.array(which[a : a + step], pa.int32()), pa.array(role[a : a + step], pa.int32()), *ids, vectors], schema=target)
 
     def compare(batches):
-        target = arrow_schema("a long, b long")
-        key, held, asking = None, [], []
-        packed = None
-
-        def flush():
-            nonlocal asking
-            if not asking or packed is None:
-                asking = []
-                return None
-            ids, codes, u = packed
-            q_ids = np.array([r for r, _ in asking], np.int64)
-            q = np.stack([e for _, e in asking])
-            asking = []
-            t = index.tables(q.astype(np.float32), key[0])
-            cut = 2 - 2 * threshold + 2 * np.sqrt((2 - 2 * threshold) * index.slack) + index.slack + 1e-4
-            out_a, out_b = [], []
-            for a in range(0, len(q), 64):
-                d = t[a : a + 64, 0][:, codes[:, 0]]
-                for m in range(1, codes.shape[1]):
-                    d += t[a : a + 64, m][:, codes[:, m]]
-                i, j = np.nonzero(d <= cut)
-                i += a
-                fresh = q_ids[i] != ids[j]
-                i, j = i[fresh], j[fresh]
-                for s in range(0, len(i), 65536):
-                    x, y = i[s : s + 65536], j[s : s + 65536]
-                    exact = np.einsum("ij,ij->i", q[x], u[y]) >= threshold
-                    out_a.append(np.minimum(q_ids[x], ids[y])[exact])
-                    out_b.append(np.maximum(q_ids[x], ids[y])[exact])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=target) if out_a else None
+        target = arrow_schema("a long, b long, n long")
+        key, waiting, own = None, [], None
+
+        def counted(ids, counts):
+            some = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(counts[some].astype(np.int64))], schema=target)
+
+        def finish():
+            """The block's rows, sorted by list, with codes and all that doesn't depend on the query."""
+            nonlocal own, waiting
+            at, ids, n, u = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting = []
+            order = at.argsort(kind="stable")
+            at, ids, n, u = at[order], ids[order], n[order], u[order]
+            low = u.astype(np.float32)
+            codes = index.codes(low, at)
+            back = index.back(codes)
+            known = (back * back).sum(1) + 2 * (back * index.coarse[at]).sum(1)
+            # a linked vector is within reach, so its code is within reach and the code's own error
+            cut = (reach + np.sqrt(((low - index.coarse[at] - back) ** 2).sum(1))) ** 2 + 2e-3
+            lists, starts = np.unique(at, return_index=True)
+            own = (at, ids, n, u, codes, known, cut, lists, [*starts.tolist(), len(at)], np.zeros(len(at)))
+
+        def ask(q_at, q_ids, q_n, q, within):
+            at, ids, n, u, codes, known, cut, lists, starts, counts = own
+            for a in range(0, len(q), 1024):
+                x, x_ids, x_n = q[a : a + 1024], q_ids[a : a + 1024], q_n[a : a + 1024]
+                low = x.astype(np.float32)
+                ok, far = index.reachable(low, q_at[a : a + 1024], lists, radius, reach)
+                tables = 2 * index.tables(low)
+                found, link_a, link_b = np.zeros(len(x)), [], []
+                for k in np.flatnonzero(ok.any(0)).tolist():
+                    s, e = starts[k], starts[k + 1]
+                    pick = np.flatnonzero(ok[:, k])
+                    if 2 * len(pick) > len(x):
+                        pick, t = np.arange(len(x)), tables
+                    else:
+                        t = tables[:, :, pick]
+                    for b in range(s, e, 512):
+                        end = min(e, b + 512)
+                        d = known[b:end, None] + far[pick, k]
+                        for m in range(len(t)):
+                            d -= t[m].take(codes[b:end, m], axis=0)
+                        near = d <= cut[b:end, None]
+                        if np.count_nonzero(near) * 16 > near.size:
+                            g = u[b:end] @ x[pick].T
+                            near = g >= threshold - 1e-9
+                            j, i = np.nonzero(near)
+                            sure = g[j, i] >= threshold + 1e-9
+                        else:
+                            j, i = np.nonzero(near)
+                            sure = np.zeros(len(j), bool)
+                        j, i = j + b, pick[i]
+                        for c in range(0, len(j), 65536):
+                            y = c + np.flatnonzero(~sure[c : c + 65536])
+                            sure[y] = np.einsum("ij,ij->i", x[i[y]], u[j[y]]) >= threshold
+                        j, i = j[sure], i[sure]
+                        if within:
+                            fresh = ids[j] != x_ids[i]
+                            j, i = j[fresh], i[fresh]
+                        else:
+                            counts += np.bincount(j, x_n[i], len(u))
+                        found += np.bincount(i, n[j], len(x))
+                        if len(j) > 2 * (end - b + len(x)):
+                            both = np.concatenate([ids[b:end], x_ids])
+                            v, w = forest(j - b, i, end - b, len(x))
+                            link_a.append(both[v])
+                            link_b.append(both[w])
+                        else:
+                            link_a.append(x_ids[i])
+                            link_b.append(ids[j])
+                yield counted(x_ids, found)
+                if link_a:
+                    v, w = np.concatenate(link_a), np.concatenate(link_b)
+                    fresh = v != w
+                    v, w = v[fresh], w[fresh]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v, w)), pa.array(np.maximum(v, w)), pa.nulls(len(v), pa.int64())], schema=target)
+
+        def begin():
+            finish()
+            yield from ask(*own[:4], True)
 
         for batch in batches:
-            lists, blocks, roles = (batch.column(k).to_pylist() for k in ("list", "block", "role"))
-            reps_ = batch.column("rep").to_pylist()
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            u = x / np.sqrt((x * x).sum(1, keepdims=True))
-            for k in range(batch.num_rows):
-                here = (lists[k], blocks[k])
-                if here != key:
-                    if (got := flush()) is not None:
-                        yield got
-                    key, held, packed = here, [], None
-                if roles[k] == 0:
-                    held.append((reps_[k], u[k]))
+            if not batch.num_rows:
+                continue
+            block, role, at, ids, n = (batch.column(k).to_numpy() for k in ("block", "role", "list", "rep", "n"))
+            u = unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))[1]
+            edges = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(role) != 0)) + 1).tolist(), len(ids)]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if block[s] != key:
+                    if waiting:
+                        yield from begin()
+                    if own is not None:
+                        yield counted(own[1], own[-1])
+                    key, own = block[s], None
+                if role[s] == 0:
+                    waiting.append((at[s:e], ids[s:e], n[s:e], u[s:e]))
                     continue
-                if packed is None and held:
-                    own = np.stack([e for _, e in held])
-                    packed = np.array([r for r, _ in held], np.int64), index.codes(own.astype(np.float32), np.full(len(own), key[0])), own
-                asking.append((reps_[k], u[k]))
-                if len(asking) >= 1024 and (got := flush()) is not None:
-                    yield got
-        if (got := flush()) is not None:
-            yield got
-
-    found = dealt.repartition("list", "block").sortWithinPartitions("list", "block", "role").mapInArrow(compare, "a long, b long")
-    links = written(found.distinct(), "vectors-links")
+                if waiting:
+                    yield from begin()
+                if own is not None:  # a hot list's block may have got no rows
+                    yield from ask(at[s:e], ids[s:e], n[s:e], u[s:e], False)
+        if waiting:
+            yield from begin()
+        if own is not None:
+            yield counted(own[1], own[-1])
+
+    dealt = rows.select("list", "rep", "n", "embedding").mapInArrow(spread, ROWS)
+    found = written(dealt.repartition("block").sortWithinPartitions("block", "role").mapInArrow(compare, "a long, b long, n long"), "vectors-links")
     delete(rows)
-    return links
+    return found
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, list_rows: int = LIST_ROWS, probes: int = PROBES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, list_rows: int = LIST_ROWS) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
-    Rows link when the cosine of their vectors, in double precision, is at least ``threshold`` and the index finds
-    them: equal vectors always, others when one lies in a list that the other probes. Null or zero vectors and those
+    Rows link when the cosine of their vectors, in double precision, is at least ``threshold``: lists are left out
+    and codes cut by bounds only, so all such pairs are found. Null or zero vectors and those
     with null or non-finite components link with nothing; so do vectors of another length than the most common one,
     but for equal copies. Rows with a null vec_id have null links. Repeated rows with the same vec_id count as copies.
     """
@@ -199,17 +324,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
     own = written(vectors.select("vec_id", "embedding"), "vectors-input")
     reps = written(classes(own), "vectors-reps")
     lengths = {r[0]: r[1] for r in reps.groupBy(F.size("embedding")).count().collect()}
-    links = spark.createDataFrame([], "a long, b long")
+    found = spark.createDataFrame([], "a long, b long, n long")
     if lengths:
         dims = max(lengths, key=lambda k: (lengths[k], k))
         fitting = reps.where(F.size("embedding") == dims)
         sample = sample_of(fitting, fit_rows, "rep").select("embedding").toPandas()["embedding"]
         lists = int(max(1, min(4096, -(-lengths[dims] // list_rows))))
         index = fit(unit(np.stack(list(sample)))[1].astype(np.float32), lists)
-        links = pairs(fitting, index, threshold, probes)
-    counts = reps.select("rep", "n")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(counts.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+        found = pairs(fitting, index, threshold)
+    links = found.where("b IS NOT NULL").select("a", "b").distinct()
+    others = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     reached = components(spark, links, "vectors").withColumnRenamed("id", "rep") if lengths else spark.createDataFrame([], "rep long, component long")
     by_class = reps.join(others, "rep", "left").join(reached, "rep", "left")
     by_class = written(by_class.select("embedding", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vectors-classes")
