@@ -75,3 +75,17 @@ def test_group_of_a_third_of_the_rows(spark, tmp_path):
     want = check_all_links(got, x)
     assert 4000 < np.median(want[group]) < 9900
     assert {got[k][1] for k in group if want[k]} == {min(k for k in group if want[k])}
+
+
+def test_each_length_is_indexed(spark, tmp_path):
+    """Vectors of two models in one table, with ids in common: each length has its links and components."""
+    rng = np.random.default_rng(6)
+    centers = [rng.normal(size=(8, d)) for d in (64, 48)]
+    parts = [c[rng.integers(8, size=n)] + 0.15 * rng.normal(size=(n, c.shape[1])) for c, n in zip(centers, (300, 250), strict=True)]
+    ids = [[k + 5 for k in range(300)], list(range(250))]
+    alone = [[(i, x.astype(np.float32).tolist()) for i, x in zip(k, part, strict=True)] for k, part in zip(ids, parts, strict=True)]
+    want = [(i, *v) for part in alone for i, v in brute(part).items()]
+    assert sum(w[1] for w in want[300:]) > 1000
+    rows = alone[0] + alone[1]
+    got = vectors.near_duplicates(table(spark, tmp_path, [i for i, _ in rows], [v for _, v in rows])).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted(want)

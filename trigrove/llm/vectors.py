@@ -108,14 +108,14 @@ def unit(rows) -> tuple[np.ndarray, np.ndarray]:
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """(rep, n, embedding) of each distinct usable vector: not null, finite, not zero, grouped with equal copies."""
+    """(least, n, embedding) of each distinct usable vector: not null, finite, not zero, grouped with equal copies."""
     usable = vectors.where(
         F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull()
         & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     )
     # -0.0 is 0.0
     plain = usable.select("vec_id", F.transform("embedding", lambda v: v.cast("double") + 0.0).alias("embedding"))
-    return plain.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    return plain.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
 
 
 def forest(i: np.ndarray, j: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
@@ -316,27 +316,38 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
     """vec_id, n_links, component_id and kept of every row.
 
     Rows link when the cosine of their vectors, in double precision, is at least ``threshold``: lists are left out
-    and codes cut by bounds only, so all such pairs are found. Null or zero vectors and those
-    with null or non-finite components link with nothing; so do vectors of another length than the most common one,
-    but for equal copies. Rows with a null vec_id have null links. Repeated rows with the same vec_id count as copies.
+    and codes cut by bounds only, so all such pairs are found. Vectors of each length are indexed for themselves and
+    link among themselves only. Null or zero vectors and those with null or non-finite components link with nothing.
+    Rows with a null vec_id have null links. Repeated rows with the same vec_id and vector count as copies; rows of one
+    vec_id with different vectors (of two models, say) have links and components of their own.
     """
     spark = vectors.sparkSession
     own = written(vectors.select("vec_id", "embedding"), "vectors-input")
-    reps = written(classes(own), "vectors-reps")
+    # a vec_id may have several vectors, so classes have keys of their own
+    reps = written(classes(own).withColumn("rep", F.monotonically_increasing_id()), "vectors-reps")
     lengths = {r[0]: r[1] for r in reps.groupBy(F.size("embedding")).count().collect()}
     found = spark.createDataFrame([], "a long, b long, n long")
-    if lengths:
-        dims = max(lengths, key=lambda k: (lengths[k], k))
+    for dims, count in sorted(lengths.items()):
+        if count < 2:
+            continue  # nothing to link with
         fitting = reps.where(F.size("embedding") == dims)
-        sample = sample_of(fitting, fit_rows, "rep").select("embedding").toPandas()["embedding"]
-        lists = int(max(1, min(4096, -(-lengths[dims] // list_rows))))
+        sample = sample_of(fitting, fit_rows, "least").select("embedding").toPandas()["embedding"]
+        lists = int(max(1, min(4096, -(-count // list_rows))))
         index = fit(unit(np.stack(list(sample)))[1].astype(np.float32), lists)
-        found = pairs(fitting, index, threshold)
+        found = found.unionByName(pairs(fitting, index, threshold))
     links = found.where("b IS NOT NULL").select("a", "b").distinct()
     others = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    reached = components(spark, links, "vectors").withColumnRenamed("id", "rep") if lengths else spark.createDataFrame([], "rep long, component long")
+    if lengths:
+        reached = written(components(spark, links, "vectors").withColumnRenamed("id", "rep"), "vectors-reached")
+        reached = reached.unionByName(reached.select(F.col("component").alias("rep"), "component").distinct())  # each component's own key
+        reached = written(reached.join(growing(reps.select("rep", "least")), "rep"), "vectors-components")
+        # written, so that the join has two plain exchanges and Spark splits a large component's rows
+        first = written(reached.groupBy(F.col("component").alias("_key")).agg(F.min("least").alias("_least")), "vectors-least")
+        reached = reached.join(growing(first), F.col("component") == F.col("_key")).select("rep", F.col("_least").alias("component"))
+    else:
+        reached = spark.createDataFrame([], "rep long, component long")
     by_class = reps.join(others, "rep", "left").join(reached, "rep", "left")
-    by_class = written(by_class.select("embedding", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vectors-classes")
+    by_class = written(by_class.select("embedding", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "least").alias("component_id")), "vectors-classes")
     # copies of one vector are many: the join's sides are dealt by Spark, which splits a hot vector
     plain = own.withColumn("embedding", F.transform("embedding", lambda v: v.cast("double") + 0.0))
     joined = plain.join(growing(by_class), "embedding", "left")
