@@ -1,4 +1,5 @@
 from collections import defaultdict
+from hashlib import md5
 
 import duckdb
 
@@ -75,6 +76,23 @@ def test_stage_repeats_documents(spark):
     assert dict(got) == {i: n for i, n in taken.items() if n} and out.columns == docs.columns
 
 
+def test_stage_places_each_pass(spark):
+    """Every pass lies where its source's schedule has spent what comes before it, the last quarter included."""
+    rows = [(k, " ".join(["w"] * (1 + k % 7)), "en", f"src{k % 3}") for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sizes = {f"src{j}": sum(1 + k % 7 for k in range(90) if k % 3 == j) for j in range(3)}
+    goals, want = targets(sizes), []
+    for s, slope in (("src0", 0.5), ("src1", 0.0), ("src2", -0.5)):
+        start = 0
+        for draw, k in sorted((int(md5(str(k).encode()).hexdigest()[:15], 16), k) for k in range(90) if rows[k][3] == s):
+            for spent in range(start, round(goals[s]), sizes[s]):
+                part = spent / goals[s]
+                want.append((((1 - slope) ** 2 + 4 * slope * part) ** 0.5 / (2 * slope) - (1 - slope) / (2 * slope) if slope else part, draw, k))
+            start += 1 + k % 7
+    assert max(goals[s] / sizes[s] for s in sizes) == 2
+    assert [r["doc_id"] for r in mixing.stage(spark, df, "").collect()] == [k for _, _, k in sorted(want)]
+
+
 def test_schedules_are_inverted(spark):
     from pyspark.sql import functions as F
 

@@ -87,7 +87,7 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, bucket_rows: i
     out = out.withColumn("taken", (F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))).cast("long"))
     part = F.when(F.col("target") > 0, F.least(F.lit(1.0), F.col("start") / F.col("target"))).otherwise(F.lit(1.0))
     out = out.withColumn("position", F.when(F.col("taken") > 0, when_of(part, F.col("slope"))))
-    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "draw")
+    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "draw", "start", "slope")
     # unread rows are spread by their draw, so that no range of positions is hot
     key = F.coalesce(F.col("position"), F.lit(2.0) + unit)
     return out.withColumn("order_key", key).repartitionByRange("order_key", "doc_id").sortWithinPartitions("order_key", "doc_id")
@@ -100,15 +100,16 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document once for every pass over its source that reaches it, in the order of positions.
 
-    The document at a source's cut is kept whole. Documents that no pass reaches go. Columns are those of ``docs``.
+    A pass's position inverts the schedule at what its source has spent when that pass reaches the document. The document at a source's cut is kept whole. Documents that no pass reaches go. Columns are those of ``docs``.
     """
     taken = mixed(docs).where("taken > 0")
     passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    reached = taken.groupBy("draw").agg(F.max(passes).alias("_passes"), F.min("position").alias("_position"))
+    first = F.min(F.struct("position", "start", "source_size", "target", "slope")).alias("_first")
+    reached = taken.groupBy("draw").agg(F.max(passes).alias("_passes"), first)
     kept = docs.withColumn("_draw", draw_of("doc_id")).join(growing(reached), F.col("draw") == F.col("_draw"))
     kept = kept.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes"))))
-    # a later pass follows an earlier one by about the time that one pass takes
-    at = F.col("_position") + (F.col("_pass") - 1) * (1 - F.col("_position")) / F.col("_passes")
+    spent = F.col("_first.start") + (F.col("_pass") - 1) * F.col("_first.source_size")
+    at = when_of(F.least(F.lit(1.0), spent / F.col("_first.target")), F.col("_first.slope"))
     out = kept.withColumn("_at", at).repartitionByRange("_at", "_draw").sortWithinPartitions("_at", "_draw")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
