@@ -64,3 +64,13 @@ def test_boosting_beats_the_prior():
     model = urls.boost(x[:1500], y[:1500])
     assert ((model.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.9
     assert urls.boost(x[:0], y[:0]).score(x[:3]).tolist() == [0.5] * 3
+
+
+def test_frequent_url_does_not_fill_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    others = [f"https://{w}.site{k}.org/a" for w in ("casino", "plain") for k in range(10, 40)]
+    hot = spark.range(4000).select(F.concat(F.lit("https://plain.hot.org/"), "id").alias("u")).orderBy(F.pmod(F.xxhash64("u"), F.lit(1 << 20))).first()["u"]
+    df = spark.createDataFrame(list(enumerate(others + [hot] * 300)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judged(df, most=61).collect()}
+    assert [got[k] for k in range(360)] == ["block"] * 30 + ["allow"] * 330

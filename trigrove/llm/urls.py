@@ -15,7 +15,7 @@ from trigrove.llm.common import map_arrow, read, sample_of, written
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Words of host names that mark a URL as to be blocked when the trees' labels are made.
 SEEDS = ("ads", "adult", "bet", "bets", "casino", "escort", "gambling", "loan", "loans", "pills", "poker", "porn", "sex", "slots", "spam", "track", "viagra", "warez", "xxx")
-#: Labelled URLs that the trees are trained on at most (the smallest hashes of the URL; a documented bound).
+#: Distinct labelled URLs that the trees are trained on at most (the smallest hashes of the URL; a documented bound).
 FIT_ROWS = 20_000
 #: Host suffixes whose share of blocked URLs is a feature, at most: those most frequent in the training rows.
 SUFFIXES = 256
@@ -172,8 +172,8 @@ def judged(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, mos
     Where a rule fits, the verdict is the rule's. Elsewhere it is the trees': ``block`` from a score of 0.5. They learn
     from ``labelled`` (url, label 0 or 1), by default from the pages' own URLs: a rule's verdict is a label where one
     fits, elsewhere a host with a word of SEEDS is to be blocked and others aren't. Null and malformed URLs have an
-    empty host and path and are judged by the trees; without labels every such URL is allowed. Repeated rows are
-    judged each for itself.
+    empty host and path and are judged by the trees; without labels every such URL is allowed. The trees learn from a
+    repeated URL once for each of its labels. Repeated rows are judged each for itself.
     """
     parts = split(pages, rules)
     if labelled is None:
@@ -181,7 +181,8 @@ def judged(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, mos
         known = parts.select("url", "host", "path", F.coalesce(F.col("verdict") == "block", seeded).cast("int").alias("y"))
     else:
         known = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("int").alias("y"))
-    rows = sample_of(known.where("y IS NOT NULL"), most, "url").collect()
+    # distinct, so that a frequent URL can't fill the sample
+    rows = sample_of(known.where("y IS NOT NULL").distinct(), most, "url", "y").collect()
     model = learn([(r["url"], r["host"], r["path"], r["y"]) for r in rows])
 
     def run(batch: pa.RecordBatch) -> dict:
