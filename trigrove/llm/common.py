@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,17 +17,29 @@ from trigrove.sources.code import ship
 
 #: Text bytes that a Python worker holds in numpy arrays at once (longer texts are taken alone).
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch sent to a Python worker, about (a longer row is sent alone), where the session sets none.
+BATCH_BYTES = 4 << 20
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def prepared(spark: SparkSession) -> None:
+    """Sends the modules to the executors and bounds the batches that Python workers get by bytes, as rows may be long."""
     ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in one process only, a local one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='trigrove-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +52,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, so a lost executor costs no rework."""
     spark = df.sparkSession
+    prepared(spark)
     path = fresh_path(spark, name)
     # the shuffles behind it are used no more, so their files go at once and not when the driver collects its garbage
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -92,6 +107,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | dict
                 for columns in [got] if isinstance(got, dict) else got:
                     yield pa.RecordBatch.from_arrays([as_arrow(columns[x.name], x.type) for x in target], schema=target)
 
+    prepared(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -192,6 +208,33 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * powers(len(prefix), inverse=True)[start] + (end - start).astype(np.uint64))
 
 
+#: Bytes of a range, at most, that are hashed eight at a time; longer ones are hashed by BLAKE2.
+SHORT = 64
+
+
+def range_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of the contents data[start:end], equal for equal contents wherever they lie.
+
+    Eight bytes at a time go through a scramble that isn't linear, so that there are no families of contents that
+    collide, as there are for polynomials modulo 2**64. Contents of up to eight bytes collide with none of their length.
+    """
+    size = end - start
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D))
+    long = np.flatnonzero(size > SHORT)
+    active = np.flatnonzero((size > 0) & (size <= SHORT)) if len(long) else np.arange(len(size))
+    k = 0
+    while len(active):
+        left = np.minimum(size[active] - k, 8)
+        lane = lanes[start[active] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - left).astype(np.uint64)))
+        out[active] = mix(out[active] ^ lane) * np.uint64(BASE)
+        k += 8
+        active = active[size[active] > k]
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -214,17 +257,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+#: Odd factors of a shingle's words: a multilinear hash of the words' names.
+FACTORS = mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``width`` lower-cased words.
 
     A text of fewer words gives the whole sequence as its only shingle; one without words gives none.
     """
     starts, ends, counts = words(data, offsets)
-    hashed = range_hash(prefix_hash(LOWER[data]), starts, ends)
+    hashed = range_names(LOWER[data], starts, ends)
     out = []
     rolled = np.zeros(max(0, len(hashed) - width + 1), np.uint64)
-    for k in range(width):
-        rolled = rolled * np.uint64(BASE) + hashed[k : k + len(rolled)]
+    for k, factor in enumerate(FACTORS[:width]):
+        rolled += hashed[k : k + len(rolled)] * factor
     rolled = mix(rolled)
     for a, b in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True):
         if b - a >= width:
@@ -232,8 +279,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.n
         elif b > a:
             x = np.full(1, 0x5851F42D4C957F2D + (b - a), np.uint64)
             for k in range(a, b):
-                x = x * np.uint64(BASE) + hashed[k]
-            out.append(mix(x))
+                x = mix(x ^ hashed[k])
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out

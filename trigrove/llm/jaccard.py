@@ -19,8 +19,10 @@ BITS = 44
 HOT, LEAST, WINDOW = 65_536, 32, 16 << 20
 #: Hashes of the sample that a set carries along, and how many two linked sets have in common at least (but for a chance under 2 ** -42).
 SAMPLE, COMMON = 48, 12
-#: Sets that one comparison holds at most of either side.
-BLOCK = 1024
+#: Sets that a task compares at once of one key's list; the lists of more are dealt out in blocks.
+LIST = 512
+#: Sets that one comparison holds at most of either side, and hashes in them (a larger set is a block of its own).
+BLOCK, HASHES = 1024, 1 << 19
 
 
 def prefix_length(n: int, frequent: int) -> int:
@@ -42,24 +44,31 @@ def sets_of(column: pa.Array) -> list[np.ndarray]:
     return shingles(*text_bytes(column), WIDTH)
 
 
-def summaries(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sig1, sig2): each document's set size and 128 bits that stand for its set."""
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, name, n, sig1, sig2, shingles): each document's set as sorted 64-bit hashes, its size and 128 bits that
+    stand for it. ``name`` is a hash of the text as it is."""
 
     def run(batch: pa.RecordBatch) -> dict:
         s = sets_of(batch.column("text"))
         return {
-            "doc_id": batch.column("doc_id"), "n": [len(x) for x in s],
+            "doc_id": batch.column("doc_id"), "name": batch.column("name"), "n": [len(x) for x in s],
             "sig1": np.array([np.bitwise_xor.reduce(mix(x)) if len(x) else 0 for x in s], np.uint64).view(np.int64),
             "sig2": np.array([mix(x + np.uint64(77)).sum(dtype=np.uint64) if len(x) else 0 for x in s], np.uint64).view(np.int64),
+            "shingles": pa.array([x.tobytes() for x in s], pa.binary()),
         }
 
-    return map_arrow(docs, run, "doc_id long, n long, sig1 long, sig2 long")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("name")), run, "doc_id long, name long, n long, sig1 long, sig2 long, shingles binary")
 
 
-def frequent_shingles(docs: DataFrame, most: int = HOT, least: int = LEAST) -> np.ndarray:
+def sets_in(column: pa.Array) -> list[np.ndarray]:
+    """The sets of a column of ``hashed``."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def frequent_shingles(sets: DataFrame, most: int = HOT, least: int = LEAST) -> np.ndarray:
     """The most frequent shingles, rarest first, ``most`` at most: only an order, so results don't depend on them.
 
-    Each task counts the distinct sets of WINDOW bytes of text at a time and passes on what occurs 4 times.
+    Each task counts the distinct sets of WINDOW bytes at a time and passes on what occurs 4 times.
     """
 
     def count(batches):
@@ -75,7 +84,7 @@ def frequent_shingles(docs: DataFrame, most: int = HOT, least: int = LEAST) -> n
 
         for batch in batches:
             for part in cut(batch, 1 << 20):
-                for s in sets_of(part.column("text")):
+                for s in sets_in(part.column("shingles")):
                     if len(s) and (key := (len(s), int(s[0]), int(s[-1]), int(np.bitwise_xor.reduce(s)))) not in seen:
                         seen.add(key)
                         held.append(s)
@@ -86,7 +95,7 @@ def frequent_shingles(docs: DataFrame, most: int = HOT, least: int = LEAST) -> n
         if (got := out()) is not None:
             yield got
 
-    total = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    total = sets.select("shingles").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     total = written(total, "jaccard-frequent")
     # the least count of which there are no more than ``most``, from counts by powers of 1.1
     steps = total.groupBy(F.floor(F.log("n") / math.log(1.1)).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
@@ -103,17 +112,15 @@ def frequent_shingles(docs: DataFrame, most: int = HOT, least: int = LEAST) -> n
     return top["shingle"].to_numpy(np.int64).view(np.uint64)
 
 
-def keyed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, keys, sample): the keys of each set with at least one shingle, and a sample of its hashes."""
+def keyed(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(rid, n, keys, sample): the keys of each set with at least one shingle, and a sample of its hashes."""
     order = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))  # at most HOT pairs
+    shared = sets.sparkSession.sparkContext.broadcast((frequent[order], order))  # at most HOT pairs
 
     def run(batch: pa.RecordBatch) -> dict:
         known, rank = shared.value
-        ids, sizes, keys, samples = [], [], [], []
-        for doc_id, s in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text")), strict=True):
-            if not len(s) or doc_id is None:
-                continue
+        keys, samples = [], []
+        for s in sets_in(batch.column("shingles")):
             if len(known):
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 hit = known[at] == s
@@ -125,13 +132,11 @@ def keyed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     first = np.concatenate([first, hot[np.argsort(rank[at[hit]], kind="stable")][: k - len(first)]])
             else:
                 first = s[: prefix_length(len(s), 0)]
-            ids.append(doc_id)
-            sizes.append(len(s))
             keys.append(first.view(np.int64))
-            samples.append((s[:SAMPLE] >> np.uint64(32)).astype(np.uint32).tobytes())
-        return {"doc_id": ids, "n": sizes, "keys": pa.array(keys, pa.list_(pa.int64())), "sample": pa.array(samples, pa.binary())}
+            samples.append((s[:SAMPLE] >> np.uint64(33)).astype(np.int32))
+        return {"rid": batch.column("rid"), "n": batch.column("n"), "keys": pa.array(keys, pa.list_(pa.int64())), "sample": pa.array(samples, pa.list_(pa.int32()))}
 
-    return map_arrow(docs, run, "doc_id long, n long, keys array<long>, sample binary")
+    return map_arrow(sets.select("rid", "n", "shingles"), run, "rid long, n long, keys array<long>, sample array<int>")
 
 
 class Forest:
@@ -154,79 +159,140 @@ class Forest:
         return True
 
 
-def near_in_list(sizes: np.ndarray, samples: list[bytes]) -> list[tuple[int, int]]:
-    """Edges that join all members of a key's list whose samples and sizes allow a link. Members that are joined aren't compared."""
+def near_in_list(sizes: np.ndarray, values: np.ndarray, begin: np.ndarray, side: np.ndarray, tree: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join the members of a job whose samples and sizes allow a link.
+
+    Member k's sample is values[begin[k]:begin[k + 1]]. Where both sides have members, only members of different sides are
+    compared. Members of one tree, or joined by edges, aren't.
+    """
     m = len(sizes)
-    rows = [np.frombuffer(s, np.uint32) for s in samples]
     need = np.minimum(COMMON, (0.4 * sizes).astype(int))
     forest, edges = Forest(m), []
-    if m > 3:
-        owner = np.repeat(np.arange(m), [len(r) for r in rows])
-        values = np.concatenate(rows)
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
+    _, at, of = np.unique(tree, return_index=True, return_inverse=True)
     for k in range(m):
-        if m > 3:
-            mine = rows[k]
-            a, b = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
-            span = b - a
-            at = np.repeat(a - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-            common = np.bincount(owner[at], minlength=m)
-            others = np.flatnonzero((common >= np.minimum(need, need[k])) & (np.arange(m) > k))
-        else:
-            others = [j for j in range(k + 1, m) if len(np.intersect1d(rows[k], rows[j])) >= min(need[k], need[j])]
-        for j in others:
-            lo, hi = sorted((int(sizes[k]), int(sizes[j])))
-            if 100 * lo >= PERCENT * hi and forest.join(k, int(j)):
-                edges.append((k, int(j)))
+        forest.join(k, int(at[of[k]]))
+    two = bool(side.min() != side.max())
+    owner = np.repeat(np.arange(m), np.diff(begin))
+    order = np.argsort(values, kind="stable")
+    listed, owner = values[order], owner[order]
+    for k in range(m - 1):
+        mine = values[begin[k] : begin[k + 1]]
+        a, b = np.searchsorted(listed, mine, "left"), np.searchsorted(listed, mine, "right")
+        span = b - a
+        places = np.repeat(a - (np.cumsum(span) - span), span) + np.arange(span.sum())
+        common = np.bincount(owner[places], minlength=m)
+        possible = (common >= np.minimum(need, need[k])) & (100 * np.minimum(sizes, sizes[k]) >= PERCENT * np.maximum(sizes, sizes[k])) & (np.arange(m) > k)
+        if two:
+            possible &= side != side[k]
+        edges.extend((k, j) for j in np.flatnonzero(possible).tolist() if forest.join(k, j))
     return edges
 
 
+JOB = ["key", "lump1", "lump2", "block1", "block2"]
+
+
+def dealt(hot: DataFrame) -> DataFrame:
+    """The members of hot keys' lists (key, rid, n, sample) as jobs of at most two blocks of about LIST members.
+
+    First every member is compared with the list's least one, and who may link with it is of its tree. A list of one
+    tree is settled by that. In the others each large tree is a lump of blocks of its own, whose members need no
+    comparison with each other, and the rest is one more lump: so a large group of near copies meets only what isn't of it.
+    """
+    least = hot.groupBy("key").agg(F.min("rid").alias("rid"))
+    roots = written(least.join(growing(hot), ["key", "rid"]).select("key", F.col("rid").alias("root"), F.col("n").alias("root_n"), F.col("sample").alias("root_sample")).dropDuplicates(["key"]), "jaccard-roots")
+    need = F.least(F.lit(COMMON), F.floor(F.least("n", "root_n") * 0.4))
+    alike = (100 * F.least("n", "root_n") >= PERCENT * F.greatest("n", "root_n")) & (F.size(F.array_intersect("sample", "root_sample")) >= need)
+    star = written(hot.join(growing(roots), "key").where((F.col("rid") != F.col("root")) & alike).select(F.col("rid").alias("a"), F.col("root").alias("b")).distinct(), "jaccard-stars")
+    trees = written(components(hot.sparkSession, star, "jaccard-trees"), "jaccard-trees")
+    rows = hot.join(growing(trees), hot["rid"] == trees["id"], "left").select("key", "rid", "n", "sample", F.coalesce("component", "rid").alias("tree"))
+    rows = written(rows, "jaccard-hot")
+    sizes = written(rows.groupBy("key", "tree").agg(F.count("*").alias("m")).select("key", "tree", "m", F.when(F.col("m") > LIST // 2, F.col("tree")).otherwise(-1).alias("lump")), "jaccard-lumps")
+    lumps = sizes.groupBy("key", "lump").agg(F.ceil(F.sum("m") / LIST).cast("int").alias("blocks"))
+    rows = rows.join(growing(sizes.select("key", "tree", "lump")), ["key", "tree"])
+    rows = written(rows.select("key", "lump", "rid", "n", "sample", "tree"), "jaccard-members")
+    lumps = written(lumps, "jaccard-blocks")
+    one, two = lumps.select("key", F.col("lump").alias("lump1"), F.col("blocks").alias("blocks1")), lumps.select("key", F.col("lump").alias("lump2"), F.col("blocks").alias("blocks2"))
+    meets = written(one.join(growing(two), "key").where("lump1 < lump2 OR (lump1 = -1 AND lump2 = -1)"), "jaccard-meets")
+    own = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(growing(meets.withColumn("lump", F.col("lump1"))), ["key", "lump"]).withColumn("mine", own("blocks1")).withColumn("other", to("blocks2"))
+    within = F.col("lump1") == F.col("lump2")
+    columns = ["key", "lump1", "lump2", F.when(within, F.least("mine", "other")).otherwise(F.col("mine")).alias("block1"), F.when(within, F.greatest("mine", "other")).otherwise(F.col("other")).alias("block2")]
+    left = left.select(*columns, F.when(within & (F.col("mine") > F.col("other")), 1).otherwise(0).alias("side"), "rid", "n", "sample", "tree")
+    right = rows.join(growing(meets.where("lump1 < lump2").withColumn("lump", F.col("lump2"))), ["key", "lump"]).withColumn("mine", own("blocks2")).withColumn("other", to("blocks1"))
+    right = right.select("key", "lump1", "lump2", F.col("other").alias("block1"), F.col("mine").alias("block2"), F.lit(1).alias("side"), "rid", "n", "sample", "tree")
+    return left.unionByName(right), star
+
+
 def candidate_groups(reps: DataFrame, keys: DataFrame) -> DataFrame:
-    """(doc_id, grp): representatives joined by chains of possible links. Those without one are left out."""
+    """(rid, grp): representatives joined by chains of possible links. Those without one are left out."""
     spark = reps.sparkSession
-    own = written(keys.join(growing(reps.select("doc_id")), "doc_id", "left_semi"), "jaccard-keys")
-    entries = own.select("doc_id", F.explode("keys").alias("key"))
-    shared = written(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "jaccard-shared")
-    listed = written(entries.join(growing(shared), "key", "left_semi"), "jaccard-entries")
-    rows = listed.join(growing(own.select("doc_id", "n", "sample")), "doc_id")
+    own = written(keys.join(growing(reps.select("rid")), "rid", "left_semi"), "jaccard-keys")
+    entries = own.select("rid", F.explode("keys").alias("key"))
+    shared = written(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-shared")
+    listed = written(entries.join(growing(shared), "key"), "jaccard-entries")
+    rows = listed.join(growing(own.select("rid", "n", "sample")), "rid")
+    zero = [F.lit(0).alias(c) for c in ("block1", "block2", "side")]
+    jobs = rows.where(F.col("c") <= LIST).select("key", F.lit(-1).cast("long").alias("lump1"), F.lit(-1).cast("long").alias("lump2"), *zero, "rid", "n", "sample", F.col("rid").alias("tree"))
+    stars = None
+    if shared.where(F.col("c") > LIST).limit(1).count():
+        hot = written(rows.where(F.col("c") > LIST).select("key", "rid", "n", "sample"), "jaccard-long")
+        more, stars = dealt(hot)
+        jobs = jobs.unionByName(more)
 
     def run(batches):
         target = arrow_schema("a long, b long")
-        key, ids, sizes, samples, out = None, [], [], [], []
+        job, held, out = None, [], []
         seen: set[tuple[int, int]] = set()
 
         def close():
+            ids, sizes, side, tree = (np.concatenate([h[k] for h in held]) for k in range(4))
             if len(ids) > 1:
-                for x, y in near_in_list(np.array(sizes), samples):
-                    e = (ids[x], ids[y]) if ids[x] < ids[y] else (ids[y], ids[x])
+                values = np.concatenate([h[4] for h in held])
+                begin = np.concatenate([[0], np.cumsum(np.concatenate([h[5] for h in held]))])
+                for x, y in near_in_list(sizes, values, begin, side, tree):
+                    e = (int(ids[x]), int(ids[y])) if ids[x] < ids[y] else (int(ids[y]), int(ids[x]))
                     if e not in seen:
                         seen.add(e)
                         out.append(e)
 
         for batch in batches:
-            for k, d, n, s in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "n", "sample")), strict=True):
-                if k != key:
-                    close()
-                    key, ids, sizes, samples = k, [], [], []
+            if not batch.num_rows:
+                continue
+            at = [batch.column(c).to_numpy() for c in JOB]
+            ids, sizes, side, tree = (batch.column(c).to_numpy() for c in ("rid", "n", "side", "tree"))
+            sample = batch.column("sample")
+            lengths, values = np.diff(sample.offsets.to_numpy()), sample.flatten().to_numpy()
+            begin = np.cumsum(lengths) - lengths
+            new = np.zeros(len(ids), bool)
+            for c in at:
+                new[1:] |= c[1:] != c[:-1]
+            edges = [0, *np.flatnonzero(new).tolist(), len(ids)]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                name = tuple(int(c[s]) for c in at)
+                if name != job:
+                    if held:
+                        close()
+                    job, held = name, []
                     if len(seen) > 200_000:
                         seen.clear()
-                ids.append(d)
-                sizes.append(n)
-                samples.append(s)
+                held.append((ids[s:e], sizes[s:e], side[s:e], tree[s:e], values[begin[s] : begin[e - 1] + lengths[e - 1]], lengths[s:e]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], schema=target)
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in range(2)], schema=target)
                 out = []
-        close()
+        if held:
+            close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], schema=target)
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in range(2)], schema=target)
 
-    edges = rows.select("key", "doc_id", "n", "sample").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "a long, b long")
+    edges = jobs.repartition(*JOB).sortWithinPartitions(*JOB, "rid").mapInArrow(run, "a long, b long")
+    if stars is not None:
+        edges = edges.unionByName(stars)
     found = components(spark, edges, "jaccard-candidates")
     found = written(found, "jaccard-reached")
     delete(own, shared, listed)
     roots = found.select(F.col("component").alias("id"), "component").distinct()
-    return found.unionByName(roots).select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
+    return found.unionByName(roots).select(F.col("id").alias("rid"), F.col("component").alias("grp"))
 
 
 class Block:
@@ -317,45 +383,47 @@ def linked(sets: list[np.ndarray]):
         yield k, np.flatnonzero(hit)
 
 
-def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def exact_links(sets: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b, links) of the groups' members: edges that join what links directly (b not null), and each member's links.
 
     Members are compared within their group and class of size only: the sizes of linked sets differ by a third at
-    most, which two neighbouring classes cover. A class of more than BLOCK members is cut into blocks, and every pair
-    of blocks is compared once, so however large a group is, a task holds two blocks.
+    most, which two neighbouring classes cover. A class of more than BLOCK members, or HASHES hashes, is cut into
+    blocks, and every pair of blocks is compared once, so however large a group is, a task holds two blocks.
     """
     step = math.log(100 / PERCENT)
-    texts = docs.select("doc_id", "text").join(growing(members), "doc_id").withColumn("class", F.floor(F.log("n") / step).cast("int"))
-    texts = written(texts, "jaccard-members")
-    counts = texts.groupBy("grp", "class").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).select("grp", "class", "blocks")
+    rows = sets.select("rid", "shingles").join(growing(members), "rid").withColumn("class", F.floor(F.log("n") / step).cast("int"))
+    rows = written(rows, "jaccard-compared")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / HASHES)).cast("int")
+    counts = rows.groupBy("grp", "class").agg(blocks.alias("blocks"))
     counts = written(counts, "jaccard-classes")
-    home = texts.join(growing(counts), ["grp", "class"])
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    home = rows.join(growing(counts), ["grp", "class"])
+    mine = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    kept = ["rid", "copies", "shingles"]
     inside = home.withColumn("mine", mine).withColumn("other", other).select(
-        "grp", "class", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), F.col("mine").alias("side"), "doc_id", "copies", "text")
+        "grp", "class", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), F.col("mine").alias("side"), *kept)
     # to the next class as visitors, where there is one
     above = counts.select("grp", (F.col("class") - 1).alias("class"), F.col("blocks").alias("there"))
     visiting = home.join(growing(above), ["grp", "class"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("there") - 1))).select(
-        "grp", (F.col("class") + 1).alias("class"), (-1 - F.col("mine")).alias("low"), F.col("other").alias("high"), (-1 - F.col("mine")).alias("side"), "doc_id", "copies", "text")
+        "grp", (F.col("class") + 1).alias("class"), (-1 - F.col("mine")).alias("low"), F.col("other").alias("high"), (-1 - F.col("mine")).alias("side"), *kept)
     own = home.withColumn("mine", mine).join(counts.select("grp", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below")).hint("merge"), ["grp", "class"])
     visited = own.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("below") - 1))).select(
-        "grp", "class", (-1 - F.col("low")).alias("low"), F.col("mine").alias("high"), F.col("mine").alias("side"), "doc_id", "copies", "text")
+        "grp", "class", (-1 - F.col("low")).alias("low"), F.col("mine").alias("high"), F.col("mine").alias("side"), *kept)
     jobs = inside.unionByName(visiting).unionByName(visited)
 
     def run(batches):
         target = arrow_schema("a long, b long, links long")
-        job, ids, sides, copies, texts_, held = None, [], [], [], [], 0
+        job, held = None, []
         out: list[tuple[int, int | None, int]] = []
 
         def close():
-            if len(set(ids)) < 2:
+            if len(held) < 2:
                 return
             low, high = job[2:]
-            sets = sets_of(pa.array(texts_, pa.string()))
-            side, weight = np.array(sides), np.array(copies)
+            ids = [h[0] for h in held]
+            side, weight = np.array([h[1] for h in held]), np.array([h[2] for h in held])
             forest = Forest(len(ids))
-            for k, found in linked(sets):
+            for k, found in linked([h[3] for h in held]):
                 if low != high:
                     found = found[side[found] != side[k]]
                 if len(found):
@@ -369,60 +437,94 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             return got
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "class", "low", "high", "side", "doc_id", "copies", "text")), strict=True):
-                if row[:4] != job:
+            names = zip(*(batch.column(c).to_pylist() for c in ("grp", "class", "low", "high")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("rid", "side", "copies")), sets_in(batch.column("shingles")), strict=True)
+            for name, row in zip(names, rows, strict=True):
+                if name != job:
                     close()
-                    job, ids, sides, copies, texts_ = row[:4], [], [], [], []
-                if ids and ids[-1] == row[5]:
-                    continue  # a repeated row
-                sides.append(row[4])
-                ids.append(row[5])
-                copies.append(row[6])
-                texts_.append(row[7])
+                    job, held = name, []
+                held.append((*row[:3], row[3].copy()))  # else the whole batch stays
             if len(out) > 10_000:
                 yield batch_out()
         close()
         if out:
             yield batch_out()
 
-    sorted_jobs = jobs.repartition("grp", "class", "low", "high").sortWithinPartitions("grp", "class", "low", "high", "doc_id")
+    sorted_jobs = jobs.repartition("grp", "class", "low", "high").sortWithinPartitions("grp", "class", "low", "high", "rid")
     links = written(sorted_jobs.mapInArrow(run, "a long, b long, links long"), "jaccard-links")
-    delete(texts, counts)
+    delete(rows, counts)
     return links
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every document.
+    """doc_id, n_shingles, component_id, n_links and name (a hash of the text) of every document.
 
     n_shingles is the number of distinct shingles of WIDTH lower-cased (A-Z) words; a text of fewer words has one,
     of all of them, and null, empty or blank texts have none and link with nothing. component_id is the smallest
     doc_id reachable by links, a document without links being its own; n_links counts the documents linked directly,
-    equal sets included. Documents without an id are kept with null component_id. Repeated rows of one id have to
-    have one text. Other columns are ignored; an empty table gives no rows.
+    equal sets included. Documents without an id are kept with null component_id. Repeated rows count each for itself,
+    and so do rows of one id with different texts, which may be in different components. Other columns are ignored; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = written(summaries(docs), "jaccard-sets")
+    own = written(hashed(docs).withColumn("rid", F.monotonically_increasing_id()), "jaccard-sets")
     usable = own.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(usable.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-reps")
-    reps = classes.select(F.col("rep").alias("doc_id"), "n", "copies")
-    keys = keyed(docs, frequent_shingles(docs)).dropDuplicates(["doc_id"])
-    groups = written(candidate_groups(reps, keys).join(growing(reps), "doc_id"), "jaccard-groups")
-    links = exact_links(docs, groups)
-    reached = components(spark, links.where("b IS NOT NULL").select("a", "b"), "jaccard").select(F.col("id").alias("rep"), "component")
-    counted = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    told = classes.join(reached, "rep", "left").join(counted, "rep", "left")
-    told = written(told.select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-told")
-    out = own.join(growing(told), ["n", "sig1", "sig2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = usable.groupBy("n", "sig1", "sig2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = written(classes, "jaccard-reps")
+    groups = candidate_groups(classes, keyed(usable, frequent_shingles(own)))
+    groups = written(groups.join(growing(classes.select("rid", "n", "copies")), "rid"), "jaccard-groups")
+    links = exact_links(own, groups)
+    reached = components(spark, links.where("b IS NOT NULL").select("a", "b"), "jaccard").select(F.col("id").alias("rid"), "component")
+    counted = links.where("b IS NULL").groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("links"))
+    told = classes.join(reached, "rid", "left").join(counted, "rid", "left")
+    told = written(told.select("n", "sig1", "sig2", "least", F.coalesce("component", "rid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-told")
+    firsts = written(told.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-firsts")
+    told = written(told.join(growing(firsts), "root").select("n", "sig1", "sig2", "component_id", "n_links"), "jaccard-answers")
+    own_rows = own.select("doc_id", "name", "n", "sig1", "sig2")
+    out = own_rows.join(growing(told), ["n", "sig1", "sig2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "name")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return joined(read(spark, sf_dir, "documents"))
+    return joined(read(spark, sf_dir, "documents")).drop("name")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all columns; rows without an id stay."""
-    found = written(joined(docs).where("component_id = doc_id").select("doc_id").distinct(), "jaccard-kept")
-    kept = docs.where("doc_id IS NOT NULL").join(growing(found), "doc_id", "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each component, that with the smallest doc_id, with all columns.
+
+    Of repeated rows one stays. Rows without an id stay, and so do those without words: neither links with anything.
+    """
+    told = written(joined(docs), "jaccard-rows")
+    found = told.where("component_id = doc_id").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+    found = written(found, "jaccard-kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.where("doc_id IS NOT NULL").withColumns({"_id": F.col("doc_id").cast("long"), "_name": F.xxhash64("text")})
+    ids = growing(found.select(F.col("doc_id").alias("_id"), F.col("name").alias("_name")))
+    kept = named.join(ids, ["_id", "_name"], "left_semi")
+    if found.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_id", "_name"])
+    return kept.select(*columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+#: The operator's rows in DuckDB SQL.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+         WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS shingles FROM w),
+classes AS (SELECT min(doc_id) AS rep, list_sort(shingles) AS shingles, count(*) AS copies FROM s GROUP BY list_sort(shingles)),
+entries AS (SELECT rep, len(shingles) AS n, unnest(shingles) AS shingle FROM classes),
+counted AS (
+  SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.rep <> b.rep GROUP BY a.rep, b.rep),
+links AS (SELECT a, b FROM counted WHERE 100 * c >= 75 * (na + nb - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+firsts AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+counts AS (SELECT l.a, sum(c.copies) AS n FROM links l JOIN classes c ON c.rep = l.b GROUP BY l.a)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles,
+       CASE WHEN len(s.shingles) = 0 THEN s.doc_id ELSE least(c.rep, coalesce(f.least, c.rep)) END::BIGINT AS component_id,
+       CASE WHEN len(s.shingles) = 0 THEN 0 ELSE c.copies - 1 + coalesce(k.n, 0) END::BIGINT AS n_links
+FROM s JOIN classes c ON c.shingles = list_sort(s.shingles) LEFT JOIN firsts f ON f.a = c.rep LEFT JOIN counts k ON k.a = c.rep
+"""

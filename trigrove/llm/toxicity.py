@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import map_arrow, read, sample_of
+from trigrove.llm.common import CHUNK_BYTES, cut, map_arrow, prepared, read, sample_of
 
-#: Labelled rows that the lexicon is learned from at most (a sample by the id's hash; a documented bound).
-FIT_ROWS = 12_000
+#: Labelled rows that the lexicon is learned from at most, and bytes of their texts (a sample by the id's hash; documented bounds).
+FIT_ROWS, FIT_BYTES = 12_000, 32 << 20
 #: Look-alikes from Cyrillic, Greek and full-width letters, then digits and signs used as letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
@@ -90,7 +90,9 @@ class Lexicon:
         return logistic(self.bias + self.slope * self.feature(text))
 
     def feature(self, text: str | None) -> float:
-        folded = fold(text or "")
+        return self.feature_of(fold(text or ""))
+
+    def feature_of(self, folded: str) -> float:
         total, _ = self.evidence(folded)
         return total / math.sqrt(1.0 + folded.count(" ") / 100.0)
 
@@ -106,23 +108,31 @@ def learn(texts: list[str | None], toxic: list[int], least: int = 4, ratio: floa
     is an exception. The logistic is fitted to the same texts. Without both labels the lexicon is empty.
     """
     folded = [fold(t or "") for t in texts]
-    marked = [t for t, label in zip(folded, toxic, strict=True) if label]
-    clean = [t for t, label in zip(folded, toxic, strict=True) if not label]
-    counts = [len(clean), len(marked)]
+    counts = [len(toxic) - sum(map(bool, toxic)), sum(map(bool, toxic))]
     if not all(counts):
         return Lexicon({}, bias=-2.2 if counts[0] or not counts[1] else 2.2)
 
+    known: dict[str, tuple[str, ...]] = {}  # a word's parts; words are few beside their occurrences
+
     def parts(text: str) -> set[str]:
-        names = set(text.split())
-        return {f"{w} " for w in names} | {w[:k] for w in names for k in range(4, min(8, len(w)) + 1)}
+        out: set[str] = set()
+        for w in set(text.split()):
+            if (mine := known.get(w)) is None:
+                mine = known[w] = (f"{w} ", *(w[:k] for k in range(4, min(8, len(w)) + 1)))
+            out.update(mine)
+        return out
 
     with_it = Counter()
-    for text in marked:
-        with_it.update(parts(text))
+    for text, label in zip(folded, toxic, strict=True):
+        if label:
+            with_it.update(parts(text))
     with_it = Counter({t: n for t, n in with_it.items() if n >= least})
+    known.clear()
     without = Counter()  # only of terms that can be chosen: the clean texts' others are many
-    for text in clean:
-        without.update(parts(text) & with_it.keys())
+    for text, label in zip(folded, toxic, strict=True):
+        if not label:
+            without.update(parts(text) & with_it.keys())
+    known.clear()
     odds = lambda term: math.log((with_it[term] + 0.5) / (counts[1] + 1)) - math.log((without[term] + 0.5) / (counts[0] + 1))
     terms = {}
     for term, n in with_it.items():
@@ -138,13 +148,17 @@ def learn(texts: list[str | None], toxic: list[int], least: int = 4, ratio: floa
     lexicon = Lexicon(lean)
     stems = {t.rstrip() for t in lean}
     pairs_with, pairs_without = Counter(), Counter()
+    hits: dict[str, bool] = {}
     for text, label in zip(folded, toxic, strict=True):
         names = text.split()
-        hit = [any(w[:k] in stems for k in range(2, len(w) + 1)) for w in names]
+        for w in names:
+            if w not in hits:
+                hits[w] = any(w[:k] in stems for k in range(2, len(w) + 1))
+        hit = [hits[w] for w in names]
         near = {f"{a} {b}" for a, b, x, y in zip(names, names[1:], hit, hit[1:]) if x or y}
         (pairs_with if label else pairs_without).update(near)
     lexicon.exceptions = {p for p, n in pairs_without.items() if n >= least and n > 20 * pairs_with[p] * counts[0] / counts[1]}
-    x = np.array([lexicon.feature(t) for t in texts])
+    x = np.array([lexicon.feature_of(t) for t in folded])
     lexicon.slope, lexicon.bias = fit_logistic(x, np.array(toxic, float))
     return lexicon
 
@@ -167,19 +181,31 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list:
-    """(text, label) of at most ``most`` labelled rows that aren't held out, those with the smallest hash of their id.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = FIT_BYTES) -> list:
+    """(doc_id, text, y) of labelled rows that aren't held out: ``most`` of them and ``most_bytes`` of text at most.
 
-    Rows with a null text, id or label are left out. Chosen ids are few, so only their texts move.
+    Those with the smallest hash of their id are taken, while there is room. Rows with a null text, id or label are left
+    out, and so are texts that are longer than an eighth of the room; of an id's several rows one counts. Only the
+    chosen rows' texts move.
     """
+    spark = docs.sparkSession
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
-    chosen = sample_of(known, most, "doc_id")
-    ids = [(r["doc_id"], r["y"]) for r in chosen.collect()]
+    ids = [(r["doc_id"], r["y"], k) for k, r in enumerate(sample_of(known, most, "doc_id").collect())]
     if not ids:
         return []
-    ids_df = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, y int"))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(ids_df, "doc_id")
-    return sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
+    texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes // 8)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids_df = F.broadcast(spark.createDataFrame(ids, "doc_id long, y int, k int"))  # ``most`` rows at most
+    named = texts.join(ids_df, "doc_id").select("k", "doc_id", "y", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))
+    chosen, room = [], most_bytes
+    for r in sorted(named.groupBy("k", "doc_id", "y").agg(F.min(F.struct("h", "size")).alias("m")).collect()):
+        room -= r["m"]["size"]
+        if room >= 0:
+            chosen.append((r["doc_id"], r["y"], r["m"]["h"]))
+    if not chosen:
+        return []
+    chosen_df = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int, h long"))
+    rows = texts.withColumn("h", F.xxhash64("text")).join(chosen_df, ["doc_id", "h"]).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return sorted(rows.select("doc_id", "text", "y").collect(), key=lambda r: r["doc_id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Lexicon:
@@ -204,13 +230,18 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score below 0.5, with all their columns."""
+    """The documents that score below 0.5, with all their columns and in any number of repeated rows.
+
+    A null or empty text has the score of no evidence, and so stays unless labels mark all such evidence as toxic.
+    Ids and other columns may be null; an empty table gives no rows, and without labels all documents stay.
+    """
+    prepared(spark)
     lexicon = fit(docs, read(spark, sf_dir, "labels"))
-    kept = docs.columns
 
     def keep(batches):
         for batch in batches:
-            clean = [lexicon.score(t) < 0.5 for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for part in cut(batch, CHUNK_BYTES):
+                clean = [lexicon.score(t) < 0.5 for t in part.column("text").to_pylist()]
+                yield part.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema).select(*[F.col(f"`{c}`") for c in kept])
+    return docs.mapInArrow(keep, docs.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
