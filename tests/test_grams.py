@@ -44,11 +44,25 @@ def test_columns_equal_arrow(spark):
                 assert sorted(got[k]) == grams_of(r, kind).tolist(), (kind, r)
 
 
-def test_native_build_equals_arrow_build(spark):
-    files = spark.createDataFrame([("d", k, bytearray(f"file number {k} of w\0i\0d\0e\0s\0".encode())) for k in range(20)], "dataset_id string, file_id int, content binary")
+def test_native_build_equals_arrow_build(spark, monkeypatch):
+    monkeypatch.setattr(postings, "SLICE_POSTINGS", 200)
+    rows = [(k % 2, k // 2, f"p{k:02}", bytearray(f"file number {k} of w\0i\0d\0e\0s\0".encode())) for k in range(20)]
     types = ["gram3", "text4", "hash4", "wide8"]
-    a, b = postings.build(files, types).collect(), postings.build_native(files, types).collect()
-    assert sorted(map(tuple, a)) == sorted((r["itype"], r["gram"], r["dataset_id"], r["file_id"]) for r in b)
+    raw = postings.scanned(spark.createDataFrame([(d, p, c) for d, _, p, c in rows], "ds int, path string, content binary").coalesce(1), types).persist()
+    base, count = postings.bases(raw)
+    assert count == {0: 10, 1: 10}
+    a = postings.gathered(raw, base, 3).collect()
+    files = spark.createDataFrame([(str(d), k, c) for d, k, _, c in rows], "dataset_id string, file_id int, content binary")
+    b = postings.build_native(files, types).collect()
+    assert sorted((r["itype"], r["gram"], str(r["ds"]), i) for r in a for i in r["ids"]) == sorted((r["itype"], r["gram"], r["dataset_id"], r["file_id"]) for r in b)
+    assert all(r["ids"] == sorted(r["ids"]) and r["gram_bucket"] in postings.folders_of(r["gram"]) for r in a)
+
+
+def test_blocks_are_packed():
+    for top in (50, 1 << 20):
+        keys = np.unique(np.random.default_rng(top).integers(0, 1 << 24, 3000) << 32 | np.random.default_rng(1).integers(0, top, 3000))
+        gram, k = postings.unpacked(postings.packed(keys))
+        assert (gram.astype(np.int64) << 32 | k == keys).all()
 
 
 def test_run_codec():

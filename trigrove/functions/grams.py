@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +13,6 @@ CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(64)
 #: Bytes that one gram is made of.
 SPAN = {"gram3": 3, "text4": 4, "hash4": 4, "wide8": 8}
 LETTER, OTHER = "[A-Za-z0-9 \\n]", "[^A-Za-z0-9 \\n]"
-_PAIRS = re.compile(rb"(?s)((?:[A-Za-z0-9 \n]\x00)+)|(?:[A-Za-z0-9 \n][^\x00]|[^A-Za-z0-9 \n])+")
-_PAIRS_REALIGNED = re.compile(rb"(?s)((?:[A-Za-z0-9 \n]\x00)+)|(?:[A-Za-z0-9 \n](?!\x00)|[^A-Za-z0-9 \n])+")
 
 
 def _windows(codes: np.ndarray) -> np.ndarray:
@@ -28,6 +24,35 @@ def _windows(codes: np.ndarray) -> np.ndarray:
     return codes[at] << 18 | codes[at + 1] << 12 | codes[at + 2] << 6 | codes[at + 3]
 
 
+def _wide(b: np.ndarray, realign: bool) -> np.ndarray:
+    """The text grams of runs of (character, NUL) pairs.
+
+    Where pairs begin depends on what comes before: a character is taken with the byte after it, any other byte alone.
+    So within a run of characters every second one begins a pair, and a run's start always does: a NUL is no character,
+    and so is what ends the run before, unless that run's last character took it along.
+    """
+    n = len(b)
+    if n < 8:
+        return b[:0]
+    text = CODE[b] >= 0
+    if realign:
+        begins = np.zeros(n, bool)
+        begins[:-1] = text[:-1] & (b[1:] == 0)
+    else:
+        # a byte is taken along if the one before it is a character that begins something; runs of characters alternate
+        place = np.arange(n)
+        first = text.copy()
+        first[1:] &= ~text[:-1]
+        start = np.maximum.accumulate(np.where(first, place, 0))
+        begins = text & ((place - start) % 2 == 0)
+        begins[:-1] &= b[1:] == 0
+        begins[-1] = False
+    # four pairs in a row
+    at = np.flatnonzero(begins[: n - 7] & begins[2 : n - 5] & begins[4 : n - 3] & begins[6 : n - 1])
+    c = CODE[b]
+    return c[at] << 18 | c[at + 2] << 12 | c[at + 4] << 6 | c[at + 6]
+
+
 def grams_of(data: bytes, kind: str, realign: bool = False) -> np.ndarray:
     """The sorted distinct gram ids of some bytes.
 
@@ -42,8 +67,7 @@ def grams_of(data: bytes, kind: str, realign: bool = False) -> np.ndarray:
     elif kind == "text4":
         found = _windows(CODE[b])
     elif kind == "wide8":
-        runs = [m[1] for m in (_PAIRS_REALIGNED if realign else _PAIRS).finditer(data) if m[1] and len(m[1]) >= 8]
-        found = np.concatenate([_windows(CODE[np.frombuffer(r, np.uint8)[::2]]) for r in runs]) if runs else b[:0]
+        found = _wide(b, realign)
     else:
         raise ValueError(f"no index type {kind!r}")
     return np.unique(found).astype(np.int32)

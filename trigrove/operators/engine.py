@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigrove import __version__
@@ -19,21 +19,26 @@ from trigrove.sources import files as sources
 from trigrove.sources.storage import Storage
 
 
-def in_order(df: DataFrame, *columns: str, name: str) -> DataFrame:
+#: Bytes a core up to which contents are dealt out anew before they are indexed.
+SPREAD = 64 << 20
+
+
+def in_order(df: DataFrame, *columns: str, name: str, at: str) -> DataFrame:
     """df with ``name``: 0, 1, 2 ... along the columns' order, without gathering the rows in one task.
 
-    Rows are sorted in ranges; the ranges' counts, one number each, go through the driver.
+    Rows are written in sorted ranges to ``at`` and numbered from there, so that ids stand whatever executors are lost; the
+    ranges' counts, one number each, give every range its first number.
     """
     spark = df.sparkSession
     ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_m", 33)).withColumn("_k", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m").persist()
-    counts = sorted((r[0], r[1]) for r in ranged.groupBy("_part").count().collect())
+    ranged.withColumn("_part", F.shiftright("_m", 33)).withColumn("_k", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m").write.parquet(at)
+    kept = spark.read.parquet(at)
     rows, base = [], 0
-    for part, n in counts:
+    for part, n in sorted((r[0], r[1]) for r in kept.groupBy("_part").count().collect()):  # a row for each range
         rows.append((part, base))
         base += n
-    bases = F.broadcast(spark.createDataFrame(rows, "_part long, _base long"))
-    return ranged.join(bases, "_part").withColumn(name, F.col("_base") + F.col("_k")).drop("_part", "_k", "_base")
+    bases = spark.createDataFrame(rows, "_part long, _base long")
+    return kept.join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_k")).drop("_part", "_k", "_base")
 
 
 class Engine:
@@ -47,19 +52,51 @@ class Engine:
 
     # tables
 
-    def files(self, names: Iterable[str]) -> DataFrame:
-        paths = [self.storage.path(f"datasets/{n}/files") for n in names]
-        schema = "dataset_id string, file_id int, path string"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def postings(self, names: Iterable[str]) -> DataFrame:
-        """Of several datasets: their folders are read as one table, so tags and ids prune before any file is opened."""
-        schema = "gram int, dataset_id string, file_id int, itype string, gram_bucket int"
-        read = [self.spark.read.schema(schema).option("basePath", self.storage.path(f"datasets/{n}/postings")).parquet(self.storage.path(f"datasets/{n}/postings")) for n in names if self.storage.exists(f"datasets/{n}/postings")]
-        out = read[0] if read else self.spark.createDataFrame([], schema)
-        for r in read[1:]:
-            out = out.unionByName(r)
-        return out
+    def _read(self, top: str, schema: str, entries: dict[str, dict]) -> DataFrame:
+        """Rows of these datasets, with ``dataset_id``: all their tables in one scan.
+
+        Tables are folders, so tags and ids prune before any file is opened; a dataset of a table with several is found by
+        a pushed filter on its number there.
+        """
+        tables: dict[str, list[int]] = {}
+        for e in entries.values():
+            tables.setdefault(e["table"], []).append(e["ds"])
+        paths = [self.storage.path(f"{top}/t={t}") for t in sorted(tables) if self.storage.exists(f"{top}/t={t}")]
+        if not paths:
+            return self.spark.createDataFrame([], f"{schema}, t string, dataset_id string")
+        rows = self.spark.read.schema(f"{schema}, t string").option("basePath", self.storage.path(top)).parquet(*paths)
+        size = {e["table"]: e["of"] for e in entries.values()}
+        parts = {t: sorted(ds) for t, ds in tables.items() if len(ds) < size[t]}
+        if parts:
+            wanted = ~F.col("t").isin(sorted(parts))
+            for t, ds in parts.items():
+                wanted = wanted | ((F.col("t") == t) & F.col("ds").isin(ds))
+            rows = rows.where(wanted)
+            if set(parts) == set(tables):
+                rows = rows.where(F.col("ds").isin(sorted({d for ds in parts.values() for d in ds})))
+        if len(entries) == 1:
+            return rows.withColumn("dataset_id", F.lit(next(iter(entries))))
+        if max(size.values()) == 1:
+            return rows.withColumn("dataset_id", _lookup({e["table"]: n for n, e in entries.items()}, F.col("t")))
+        if len(tables) == 1:
+            return rows.withColumn("dataset_id", _lookup({e["ds"]: n for n, e in entries.items()}, F.col("ds")))
+        return rows.withColumn("dataset_id", _lookup({f"{e['table']}/{e['ds']}": n for n, e in entries.items()}, F.concat_ws("/", "t", "ds")))
+
+    def _entries(self, names: Iterable[str], snapshot: dict | None = None) -> dict[str, dict]:
+        have = (snapshot or self.catalog.manifest)["datasets"]
+        return {n: have[n] for n in names}
+
+    def files(self, names: Iterable[str], snapshot: dict | None = None) -> DataFrame:
+        """(dataset_id, file_id, path) of these datasets."""
+        return self._read("files", "ds int, file_id int, path string", self._entries(names, snapshot)).select("dataset_id", "file_id", "path")
+
+    def runs(self, names: Iterable[str], snapshot: dict | None = None) -> DataFrame:
+        """(gram, ids, itype, gram_bucket, dataset_id) of these datasets."""
+        return self._read("postings", postings.TABLE, self._entries(names, snapshot))
+
+    def postings(self, names: Iterable[str], snapshot: dict | None = None) -> DataFrame:
+        """(gram, dataset_id, file_id, itype, gram_bucket) of these datasets; filters go below the explosion of runs."""
+        return self.runs(names, snapshot).select("gram", "dataset_id", F.explode("ids").alias("file_id"), "itype", "gram_bucket")
 
     # indexing
 
@@ -68,44 +105,95 @@ class Engine:
         with self.catalog.task("index") as (task, snapshot):
             return self._index(task, snapshot, found, list(dict.fromkeys(types)), list(taints), check)
 
+    def index_many(self, found: DataFrame, types: Iterable[str] = ("gram3",), taints: Callable[[str], Iterable[str]] = lambda name: (), check: bool = True) -> list[str]:
+        """A dataset for each value of ``name`` in (name, path, content), with that id and the tags ``taints`` gives it, in one job.
+
+        They share a table, so that many small datasets don't make many small files. The ids of those that got files.
+        """
+        with self.catalog.task("index many") as (task, snapshot):
+            names = sorted(r[0] for r in found.select("name").distinct().collect())  # datasets, far fewer than files
+            taken = [n for n in names if n in snapshot["datasets"]]
+            if taken or not all(names):
+                raise CatalogError(f"there are datasets already: {taken}" if taken else "a dataset's name is missing")
+            numbered = found.withColumn("ds", _lookup({n: k for k, n in enumerate(names)}, F.col("name"))) if names else found.withColumn("ds", F.lit(0))
+            return self._build(task, snapshot, numbered, list(dict.fromkeys(types)), {n: list(taints(n)) for n in names}, check, self.catalog.fresh_id())
+
     def _index(self, task: Task, snapshot: dict, found: DataFrame, types: list[str], taints: list[str], check: bool) -> str | None:
-        if check and snapshot["datasets"]:
-            found = found.join(self.files(snapshot["datasets"]).select("path"), "path", "left_anti")
         name = self.catalog.fresh_id()
-        at = f"datasets/{name}"
-        ids = in_order(sources.usable(found).select("path"), "path", name="file_id")
-        ids.select(F.lit(name).alias("dataset_id"), F.col("file_id").cast("int").alias("file_id"), "path").write.parquet(self.storage.path(f"{at}/files"))
-        count, distinct = self.files([name]).agg(F.count("*"), F.countDistinct("path")).first()
-        if not count:
-            self.storage.delete(at)
-            return None
-        task.work_estimated = count
-        if types:
-            contents = found if count == distinct else found.dropDuplicates(["path"])
-            with_ids = contents.join(self.files([name]), "path")
-            postings.write(postings.build(with_ids, types), self.storage.path(f"{at}/postings"), self._partitions())
-        task.work_done = count
-        self._insert(task, name, count, types, taints)
-        return name
+        made = self._build(task, snapshot, found.withColumn("ds", F.lit(0)), types, {name: taints}, check, name)
+        return made[0] if made else None
+
+    def _build(self, task: Task, snapshot: dict, found: DataFrame, types: list[str], named: dict[str, list[str]], check: bool, table: str) -> list[str]:
+        """Datasets of (ds, path, content), the k-th of ``named`` (id to tags) of the rows with ds = k.
+
+        Contents are read once, where they lie: a scan gives every file a number within its task and its postings in blocks,
+        and only these are shuffled. Numbers become ids by adding the files of the tasks before.
+        """
+        if check and snapshot["datasets"]:
+            found = found.join(self.files(snapshot["datasets"], snapshot).select("path"), "path", "left_anti")
+        scratch = f"scratch/{table}"
+        try:
+            postings.scanned(self._spread(sources.usable(found)), types).write.parquet(self.storage.path(f"{scratch}/raw"))
+            raw = self.spark.read.parquet(self.storage.path(f"{scratch}/raw"))
+            base, count = postings.bases(raw)
+            if not count:
+                return []
+            task.work_estimated = sum(count.values())
+            placed = raw.where(F.col("path").isNotNull()).join(base, ["ds", "pid"])
+            placed.select("ds", (F.col("base") + F.col("k")).cast("int").alias("file_id"), "path").write.parquet(self.storage.path(f"files/t={table}"))
+            task.work_done = task.work_estimated // 2
+            runs = postings.gathered(raw, base, self._partitions()) if types else None
+            if runs is not None:
+                postings.write(runs, self.storage.path(f"postings/t={table}"))
+            entries = self._described(table, types, {n: (k, count[k]) for k, n in enumerate(named) if k in count}, raw)
+        finally:
+            self.storage.delete(scratch)
+        task.work_done = task.work_estimated
+        for name, entry in entries.items():
+            task.changes.append(("insert", name, entry))
+            task.changes += [("toggle_taint", name, t) for t in dict.fromkeys(named[name])]
+        return list(entries)
+
+    def _spread(self, found: DataFrame) -> DataFrame:
+        """Little data, whose scan may have fewer tasks than there are cores, dealt out to all of them in the order of paths.
+
+        More than SPREAD bytes a core stay where they are scanned.
+        """
+        size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        cores = self.spark.sparkContext.defaultParallelism
+        if size > SPREAD * cores:
+            return found
+        dealt = found.repartitionByRange(cores, "ds", "path") if size > SPREAD // 64 else found.coalesce(1)
+        return dealt.sortWithinPartitions("ds", "path")
 
     def _partitions(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _insert(self, task: Task, name: str, count: int, types: list[str], taints: list[str]) -> None:
-        sizes = {t: self.storage.size(f"datasets/{name}/postings/itype={t}") for t in types}
-        entry = {"taints": [], "index_types": sorted(types), "file_count": count, "sizes": sizes, "size": sum(sizes.values()) + self.storage.size(f"datasets/{name}/files")}
-        task.changes.append(("insert", name, entry))
-        task.changes += [("toggle_taint", name, t) for t in dict.fromkeys(taints)]
+    def _described(self, table: str, types: list[str], sets: dict[str, tuple[int, int]], raw: DataFrame | None = None) -> dict[str, dict]:
+        """The entries of a table's datasets, id to (number, files). Datasets share its bytes by their postings and files."""
+        bytes_of = {t: self.storage.size(f"postings/t={table}/itype={t}") for t in types}
+        share = {(t, k): 1.0 for t in types for k, _ in sets.values()}
+        if len(sets) > 1:
+            rows = raw.where(F.col("block").isNotNull()).groupBy("itype", "ds").agg(F.sum("n").alias("n")).collect()  # a row for each type and dataset
+            total = {t: sum(r["n"] for r in rows if r["itype"] == t) for t in types}
+            share = {(r["itype"], r["ds"]): r["n"] / total[r["itype"]] for r in rows}
+        names, of = self.storage.size(f"files/t={table}"), sum(n for _, n in sets.values())
+        out = {}
+        for name, (k, n) in sets.items():
+            sizes = {t: round(bytes_of[t] * share.get((t, k), 0.0)) for t in types}
+            out[name] = {"taints": [], "index_types": sorted(types), "file_count": n, "sizes": sizes, "size": sum(sizes.values()) + names * n // of, "table": table, "ds": k, "of": len(sets)}
+        return out
 
     def reindex(self, name: str, types: Iterable[str]) -> str | None:
         """The dataset built anew with other index types; tags stay. Files that are gone are left out."""
         with self.catalog.task("reindex", {("dataset", name)}) as (task, snapshot):
             if name not in snapshot["datasets"]:
                 raise CatalogError(f"no dataset {name}")
-            paths = self.files([name]).select("path")
-            # folders are few where files are many
-            folders = [r[0] for r in paths.select(F.regexp_replace("path", "/[^/]*$", "/")).distinct().collect()] if self.reader is sources.scan else None
-            found = self.reader(self.spark, folders).join(paths, "path", "left_semi").dropDuplicates(["path"])
+            paths = self.files([name], snapshot).select("path")
+            if self.reader is sources.scan:
+                found = sources.named(self.spark, paths)
+            else:
+                found = self.reader(self.spark, None).join(paths, "path", "left_semi").dropDuplicates(["path"])
             new = self._index(task, snapshot, found, list(dict.fromkeys(types)), snapshot["datasets"][name]["taints"], check=False)
             task.changes.insert(0, ("drop", name))
             return new
@@ -130,13 +218,16 @@ class Engine:
             base[n] = total
             total += e["file_count"]
         new, types = self.catalog.fresh_id(), entries[0]["index_types"]
-        moves = F.create_map(*[x for k, v in base.items() for x in (F.lit(k), F.lit(v))])
-        moved = self.files(names).select(F.lit(new).alias("dataset_id"), (F.col("file_id") + moves[F.col("dataset_id")]).cast("int").alias("file_id"), "path")
-        moved.write.parquet(self.storage.path(f"datasets/{new}/files"))
+        moved = self.files(names, snapshot).select(F.lit(0).alias("ds"), (F.col("file_id") + _lookup(base, F.col("dataset_id"))).cast("int").alias("file_id"), "path")
+        moved.write.parquet(self.storage.path(f"files/t={new}"))
         if types:
-            postings.write(postings.shifted(self.postings(names), base, new), self.storage.path(f"datasets/{new}/postings"), self._partitions())
+            runs = postings.joined(self.runs(names, snapshot), _lookup(base, F.col("dataset_id")), total, self._partitions())
+            if runs is not None:
+                postings.write(runs, self.storage.path(f"postings/t={new}"))
         task.changes += [("drop", n) for n in names]
-        self._insert(task, new, total, types, entries[0]["taints"])
+        for name, entry in self._described(new, types, {new: (0, total)}).items():
+            task.changes.append(("insert", name, entry))
+        task.changes += [("toggle_taint", new, t) for t in entries[0]["taints"]]
         return new
 
     def compact_fully(self, smart: bool = True) -> int:
@@ -154,25 +245,28 @@ class Engine:
         Every dataset is planned for its index types; datasets of equal types are read together.
         """
         m = snapshot or self.catalog.manifest
-        wanted, have = list(datasets), m["datasets"]
-        for d in wanted:
-            if d not in have:
-                raise CatalogError(f"Invalid dataset specified in query: {d}")
-        names = sorted(set(wanted)) if wanted else list(have)
-        names = [n for n in names if set(taints) <= set(have[n]["taints"])]
+        have, names = m["datasets"], self._chosen(m, taints, datasets)
         by_types: dict[tuple, list[str]] = {}
         for n in names:
             by_types.setdefault(tuple(have[n]["index_types"]), []).append(n)
         out = None
         for types, group in by_types.items():
             tree = rewrite(plan(query, types))
-            files = self.files(group)
-            found = compiler.candidates(tree, self.postings(group), files).join(files, ["dataset_id", "file_id"])
+            files = self.files(group, m)
+            found = compiler.candidates(tree, self.postings(group, m), files).join(files, ["dataset_id", "file_id"])
             out = found if out is None else out.unionByName(found)
         if out is None:
             return self.spark.createDataFrame([], "ordinal int, dataset_id string, file_id int, path string")
-        order = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))])
-        return out.select(order[F.col("dataset_id")].alias("ordinal"), "dataset_id", "file_id", "path")
+        return out.select(_lookup({n: k for k, n in enumerate(names)}, F.col("dataset_id")).alias("ordinal"), "dataset_id", "file_id", "path")
+
+    def _chosen(self, m: dict, taints: Iterable[str], datasets: Iterable[str]) -> list[str]:
+        """The datasets that a query asks: those named, else all, that have all the tags."""
+        wanted, have = list(datasets), m["datasets"]
+        for d in wanted:
+            if d not in have:
+                raise CatalogError(f"Invalid dataset specified in query: {d}")
+        names = sorted(set(wanted)) if wanted else list(have)
+        return [n for n in names if set(taints) <= set(have[n]["taints"])]
 
     def explain(self, query: Node, types: Iterable[str]) -> str:
         return str(rewrite(plan(query, types)))
@@ -200,7 +294,8 @@ class Engine:
             if c.into_iterator:
                 name = self.catalog.fresh_id()
                 path = self.storage.path(f"iterators/{name}")
-                in_order(found, "ordinal", "file_id", name="place").select("place", "path").write.parquet(path)
+                in_order(found, "ordinal", "file_id", name="place", at=self.storage.path(f"scratch/{name}")).select("place", "path").write.parquet(path)
+                self.storage.delete(f"scratch/{name}")
                 total = self.spark.read.schema("place long, path string").parquet(path).count()
                 task.changes.append(("new_iterator", name, {"position": 0, "total": total, "last_read": time.time()}))
                 result = {"mode": "iterator", "file_count": total, "iterator": name}
@@ -222,7 +317,7 @@ class Engine:
             for a in node.args:
                 count(a)
 
-        for d in snapshot["datasets"].values():
+        for d in self._entries(self._chosen(snapshot, c.taints, c.datasets), snapshot).values():
             tree = rewrite(plan(c.query, d["index_types"]))
             count(tree)
             total["uniq_read"] += len(grams_in(tree))
@@ -291,6 +386,11 @@ class Engine:
         return OK
 
 
+def _lookup(values: dict, key: Column) -> Column:
+    """The value of a key in a small dict."""
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])[key]
+
+
 OK = {"type": "ok", "result": {"status": "ok"}}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.operators.postings import BUCKET_BITS
+from trigrove.operators.postings import folders_of
 from trigrove.plans.ast import And, AtLeast, Gram, Node, Or, grams_in
 from trigrove.plans.planner import is_everything
 
@@ -29,14 +29,14 @@ def condition(node: Node, of) -> Column:
     return out
 
 
-def lookups(postings: DataFrame, grams: list[Gram], bits: int = BUCKET_BITS) -> DataFrame:
+def lookups(postings: DataFrame, grams: list[Gram]) -> DataFrame:
     """The postings of these grams: partition filters on type and bucket, and a pushed filter on the gram."""
     wanted = None
     for kind in sorted({g.type for g in grams}):
         ids = sorted(g.id for g in grams if g.type == kind)
         one = (F.col("itype") == kind) & F.col("gram").isin(ids)
         if "gram_bucket" in postings.columns:
-            one = one & F.col("gram_bucket").isin(sorted({i >> (24 - bits) for i in ids}))
+            one = one & F.col("gram_bucket").isin(sorted({f for i in ids for f in folders_of(i)}))
         wanted = one if wanted is None else wanted | one
     return postings.where(wanted)
 

@@ -1,31 +1,38 @@
 """The engine's registered queries over the driver's tables, and their DuckDB counterparts.
 
 Rows of ``documents`` are the files: the id is the path, the text's UTF-8 bytes the content; a dataset holds one source
-and language, and the language is its tag. The index of a table is built once a session and read by all queries.
+and language, and the language is its tag. All queries go through an ``Engine``; a catalog is built once a session for
+the index types that queries ask for, and read by all of them.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigrove.operators import compaction, postings
-from trigrove.operators.engine import in_order
+from trigrove.operators.engine import Engine
 from trigrove.plans import compiler
 from trigrove.plans.parser import parse_query
 from trigrove.plans.planner import plan, rewrite
 
-_BUILT: dict[tuple, str] = {}
+_BUILT: dict[tuple, object] = {}
 
 
 def workspace(spark: SparkSession) -> str:
-    """A folder of this session in the one that driver and executors share (a local one where none is set)."""
+    """A folder of this session in the one that driver and executors share (in one process only, a local one where none is set)."""
     key = ("workspace", spark.sparkContext.applicationId)
     if key not in _BUILT:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='trigrove-')}"
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = f"file://{tempfile.mkdtemp(prefix='trigrove-')}"
         _BUILT[key] = f"{shared.rstrip('/')}/index-{uuid.uuid4().hex[:12]}"
     return _BUILT[key]
 
@@ -41,58 +48,66 @@ def content_of(kind: str):
     return F.encode("text", "UTF-8")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset_id, file_id, doc_id): ids count from 0 within each dataset, along doc_id."""
-    at = _built(spark, sf_dir, "files", lambda: _numbered(documents(spark, sf_dir)))
-    return spark.read.parquet(at)
+def contents(spark: SparkSession, sf_dir: str, kind: str = "gram3") -> DataFrame:
+    """(name, path, content) of the documents, ``name`` being the dataset."""
+    return documents(spark, sf_dir).select(F.concat_ws("/", "source", "lang").alias("name"), F.col("doc_id").cast("string").alias("path"), content_of(kind).alias("content"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    named = docs.where("text <> ''").select(F.concat_ws("/", "source", "lang").alias("dataset_id"), "doc_id")
-    placed = in_order(named, "dataset_id", "doc_id", name="place")
-    base = placed.groupBy("dataset_id").agg(F.min("place").alias("base"))
-    return placed.join(base, "dataset_id").select("dataset_id", (F.col("place") - F.col("base")).cast("int").alias("file_id"), "doc_id")
+def tag_of(dataset: str) -> list[str]:
+    return [dataset.rpartition("/")[2]]
 
 
-def _built(spark: SparkSession, sf_dir: str, name: str, make) -> str:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def fresh(spark: SparkSession, sf_dir: str, reader: Callable | None = None) -> Engine:
+    """An engine over a new catalog."""
+    return Engine(spark, f"{workspace(spark)}/db-{uuid.uuid4().hex[:8]}", reader)
+
+
+def engine(spark: SparkSession, sf_dir: str, types=("gram3",)) -> Engine:
+    """The session's engine over the documents, a dataset for each source and language, with these index types."""
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(types))
     if key not in _BUILT:
-        path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-        make().write.parquet(path)
-        _BUILT[key] = path
+        e = fresh(spark, sf_dir)
+        e.index_many(contents(spark, sf_dir, types[0]), types, tag_of)
+        _BUILT[key] = e
     return _BUILT[key]
 
 
-def index(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """The posting table of one index type."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+def mixed_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """The same with gram3 only for English datasets and text grams too for the others."""
+    key = (spark.sparkContext.applicationId, sf_dir, "mixed")
     if key not in _BUILT:
-        path = f"{workspace(spark)}/postings-{kind}-{uuid.uuid4().hex[:8]}"
-        rows = documents(spark, sf_dir).select("doc_id", content_of(kind).alias("content")).join(files(spark, sf_dir), "doc_id")
-        postings.write(postings.build(rows, [kind]), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        _BUILT[key] = path
-    return spark.read.schema("gram int, dataset_id string, file_id int, itype string, gram_bucket int").parquet(_BUILT[key])
+        e, rows = fresh(spark, sf_dir), contents(spark, sf_dir)
+        english = F.col("name").endswith("/en")
+        e.index_many(rows.where(english), ["gram3"], tag_of)
+        e.index_many(rows.where(~english), ["gram3", "text4"], tag_of)
+        _BUILT[key] = e
+    return _BUILT[key]
+
+
+def files(spark: SparkSession, sf_dir: str, types=("gram3",)) -> DataFrame:
+    """(dataset_id, file_id, doc_id): ids count from 0 within each dataset."""
+    e = engine(spark, sf_dir, types)
+    return e.files(e.catalog.manifest["datasets"]).select("dataset_id", "file_id", F.col("path").cast("long").alias("doc_id"))
+
+
+def index(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The postings of one index type."""
+    e = engine(spark, sf_dir, (kind,))
+    return e.postings(e.catalog.manifest["datasets"])
 
 
 def indexes(spark: SparkSession, sf_dir: str, types) -> DataFrame:
-    out = None
-    for t in types:
-        one = index(spark, sf_dir, t)
-        out = one if out is None else out.unionByName(one)
-    return out
+    e = engine(spark, sf_dir, tuple(types))
+    return e.postings(e.catalog.manifest["datasets"])
 
 
-def found(spark: SparkSession, sf_dir: str, query: str, types=("gram3",), where=None) -> DataFrame:
-    """(dataset_id, file_id, doc_id) of the candidates of a query; ``where`` prunes datasets."""
-    tree = rewrite(plan(parse_query(query), types))
-    own, hits = files(spark, sf_dir), indexes(spark, sf_dir, types)
-    if where is not None:
-        own, hits = own.where(where), hits.where(where)
-    return compiler.candidates(tree, hits, own).join(own, ["dataset_id", "file_id"])
+def found(spark: SparkSession, sf_dir: str, query: str, types=("gram3",), taints=(), datasets=()) -> DataFrame:
+    """(ordinal, dataset_id, file_id, path, doc_id) of the candidates of a query."""
+    return engine(spark, sf_dir, types).select(parse_query(query), taints, datasets).withColumn("doc_id", F.col("path").cast("long"))
 
 
-def select(query: str, types=("gram3",), where=None):
-    return lambda spark, sf_dir: found(spark, sf_dir, query, types, where).select("doc_id")
+def select(query: str, types=("gram3",), **filters):
+    return lambda spark, sf_dir: found(spark, sf_dir, query, types, **filters).select("doc_id")
 
 
 # SQL by hand: a literal's candidates hold all its pieces
@@ -125,7 +140,7 @@ def text_grams(text: str) -> str:
 
 
 def posting_rows(kind: str):
-    return lambda spark, sf_dir: index(spark, sf_dir, kind).join(files(spark, sf_dir), ["dataset_id", "file_id"]).select("doc_id", "gram")
+    return lambda spark, sf_dir: index(spark, sf_dir, kind).join(files(spark, sf_dir, (kind,)), ["dataset_id", "file_id"]).select("doc_id", "gram")
 
 
 def gram_document_frequency(spark, sf_dir):
@@ -137,7 +152,7 @@ def posting_runs(spark, sf_dir):
     return runs.select("dataset_id", "gram", F.size("run").cast("long").alias("files"), F.element_at("run", 1).alias("first_id"), F.element_at("run", -1).alias("last_id"), F.aggregate("run", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
 
 
-FIDS = "SELECT doc_id, source || '/' || lang AS ds, (row_number() OVER (PARTITION BY source || '/' || lang ORDER BY doc_id) - 1)::INTEGER AS fid FROM documents WHERE text <> ''"
+FIDS = "SELECT doc_id, source || '/' || lang AS ds, (row_number() OVER (PARTITION BY source || '/' || lang ORDER BY doc_id::VARCHAR) - 1)::INTEGER AS fid FROM documents WHERE text <> ''"
 
 
 def _hits(spark, sf_dir, literal):
@@ -154,37 +169,27 @@ def setop(kind: str):
 
 
 def dedupe_anti_join(spark, sf_dir):
-    """Documents that aren't catalogued yet, when those with an even id are."""
-    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"))
-    known = docs.where(F.col("path").cast("long") % 2 == 0)
-    return docs.join(known, "path", "left_anti")
-
-
-def select_with_taints(spark, sf_dir):
-    return found(spark, sf_dir, '"ouer"', where=F.col("dataset_id").endswith("/fr")).select("doc_id")
-
-
-def select_with_datasets(spark, sf_dir):
-    return found(spark, sf_dir, '"ouer"', where=F.col("dataset_id").isin("src1/en", "src2/en")).select("doc_id")
-
-
-def select_everything_by_tag(spark, sf_dir):
-    return found(spark, sf_dir, "{}", where=F.col("dataset_id").endswith("/fr")).select("doc_id")
+    """What a second indexing of all documents takes in when those in English are catalogued: its new datasets' files."""
+    e, rows = fresh(spark, sf_dir), contents(spark, sf_dir)
+    e.index_many(rows.where(F.col("name").endswith("/en")), [], tag_of)
+    new = e.index(rows.select("path", "content"), [])
+    return e.files([new] if new else []).select("path")
 
 
 def select_mixed_index_types(spark, sf_dir):
     """Datasets with gram3 only and datasets with text grams too: each planned for what it has."""
-    even = F.substring_index("dataset_id", "/", -1) == "en"
-    return found(spark, sf_dir, '"erenth"', ("gram3",), even).unionByName(found(spark, sf_dir, '"erenth"', ("gram3", "text4"), ~even)).select("doc_id")
+    return mixed_engine(spark, sf_dir).select(parse_query('"erenth"')).select(F.col("path").cast("long").alias("doc_id"))
 
 
 def select_multi_table_nocheck(spark, sf_dir):
-    """Two tables and one of them again, without a check: repeated paths stay."""
+    """Two tables and one of them again, indexed without a check: repeated paths stay."""
     docs = documents(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    tree = rewrite(plan(parse_query('"ouer"'), ["gram3", "text4"]))
-    both = docs.unionByName(talks).unionByName(talks)
-    return both.where(compiler.scan_condition(tree, F.col("content"))).select("path")
+    e = fresh(spark, sf_dir)
+    e.index(docs, ["gram3", "text4"])
+    for _ in range(2):
+        e.index(talks, ["gram3", "text4"], check=False)
+    return e.select(parse_query('"ouer"')).select("path")
 
 
 def unindexed_scan(spark, sf_dir):
@@ -194,8 +199,7 @@ def unindexed_scan(spark, sf_dir):
 
 
 def select_by_joins(spark, sf_dir):
-    tree = rewrite(plan(parse_query('"ouer" & ("retition" | "erenth")'), ["gram3"]))
-    own = files(spark, sf_dir)
+    tree, own = rewrite(plan(parse_query('"ouer" & ("retition" | "erenth")'), ["gram3"])), files(spark, sf_dir)
     return compiler.candidates_by_joins(tree, index(spark, sf_dir, "gram3"), own).join(own, ["dataset_id", "file_id"]).select("doc_id")
 
 
@@ -210,30 +214,51 @@ def plan_rewrite_equivalence(spark, sf_dir):
 
 
 def cursor_page(spark, sf_dir):
-    hits = found(spark, sf_dir, '"the of"')
-    return in_order(hits, "dataset_id", "file_id", name="place").where("place >= 20 AND place < 45").select("place", "doc_id")
+    """The second page of a cursor: 20 files are popped, then 25 more."""
+    e = engine(spark, sf_dir)
+    name = e.execute('select into iterator "the of";')["result"]["iterator"]
+    e.execute(f'iterator "{name}" pop 20;')
+    page = e.execute(f'iterator "{name}" pop 25;')
+    rows = [(20 + k, int(path)) for k, path in enumerate(page["result"]["files"])] if page["type"] == "select" else []
+    return spark.createDataFrame(rows, "place long, doc_id long")
 
 
 def topology(spark, sf_dir):
-    counts = files(spark, sf_dir).groupBy("dataset_id").agg(F.count("*").alias("file_count"))
-    sizes = indexes(spark, sf_dir, ("gram3", "text4")).groupBy("dataset_id").agg(F.count_if(F.col("itype") == "gram3").alias("gram3_postings"), F.count_if(F.col("itype") == "text4").alias("text4_postings"))
-    return counts.join(sizes, "dataset_id", "left").select("dataset_id", "file_count", F.coalesce("gram3_postings", F.lit(0)).alias("gram3_postings"), F.coalesce("text4_postings", F.lit(0)).alias("text4_postings"), F.substring_index("dataset_id", "/", -1).alias("taint"))
+    """Files and tags of each dataset as the command tells them, and its postings."""
+    e = engine(spark, sf_dir, ("gram3", "text4"))
+    told = [(n, d["file_count"], d["taints"][0]) for n, d in e.execute("topology;")["result"]["datasets"].items()]
+    counts = spark.createDataFrame(told, "dataset_id string, file_count long, taint string")
+    runs = e.runs(e.catalog.manifest["datasets"]).withColumn("n", F.size("ids"))
+    of = lambda t: F.coalesce(F.sum(F.when(F.col("itype") == t, F.col("n"))), F.lit(0)).alias(f"{t}_postings")
+    sizes = runs.groupBy("dataset_id").agg(of("gram3"), of("text4"))
+    return counts.join(sizes, "dataset_id", "left").select("dataset_id", "file_count", F.coalesce("gram3_postings", F.lit(0)).alias("gram3_postings"), F.coalesce("text4_postings", F.lit(0)).alias("text4_postings"), "taint")
 
 
 def _counts(spark, sf_dir) -> dict[str, dict]:
-    rows = files(spark, sf_dir).groupBy("dataset_id").count().collect()  # one row a dataset
-    return {r["dataset_id"]: {"taints": [r["dataset_id"].rpartition("/")[2]], "index_types": ["gram3"], "file_count": r["count"], "sizes": {"gram3": r["count"]}} for r in sorted(rows)}
+    """The catalog's datasets with files for bytes, as SQL doesn't know an index's bytes."""
+    have = engine(spark, sf_dir).catalog.manifest["datasets"]
+    return {n: d | {"sizes": {"gram3": d["file_count"]}} for n, d in sorted(have.items())}
+
+
+def _english(spark, sf_dir) -> Engine:
+    e = fresh(spark, sf_dir)
+    e.index_many(contents(spark, sf_dir).where(F.col("name").endswith("/en")), ["gram3"], tag_of)
+    e.execute('config set "merge_max_datasets" 1024;')
+    return e
 
 
 def compact_remap(spark, sf_dir):
-    """Ids after the English datasets are merged in the order of their names."""
-    counts = {n: d["file_count"] for n, d in _counts(spark, sf_dir).items() if n.endswith("/en")}
-    base, total = {}, 0
-    for n in sorted(counts):
-        base[n], total = total, total + counts[n]
-    moves = F.create_map(*[x for k, v in base.items() for x in (F.lit(k), F.lit(v))])
-    own = files(spark, sf_dir).where(F.col("dataset_id").endswith("/en"))
-    return own.select("doc_id", (F.col("file_id") + moves[F.col("dataset_id")]).cast("int").alias("file_id"))
+    """Ids after the English datasets are compacted into one, from the smallest to the largest."""
+    e = _english(spark, sf_dir)
+    e.execute("compact all;")
+    return e.files(e.catalog.manifest["datasets"]).select(F.col("path").cast("long").alias("doc_id"), "file_id")
+
+
+def compact_select(spark, sf_dir):
+    """Candidates of a query after the same compaction."""
+    e = _english(spark, sf_dir)
+    e.execute("compact all;")
+    return e.select(parse_query('"ouer" & ("retition" | "the of")')).select(F.col("path").cast("long").alias("doc_id"))
 
 
 def compact_candidates(smart: bool):
@@ -245,10 +270,13 @@ def compact_candidates(smart: bool):
 
 
 def reindex_precision(spark, sf_dir):
-    """Candidates of a literal before and after text grams are added."""
-    before = found(spark, sf_dir, '"andation"').agg(F.count("*").alias("before"))
-    after = found(spark, sf_dir, '"andation"', ("gram3", "text4")).agg(F.count("*").alias("after"))
-    return before.crossJoin(after)  # one row each
+    """Candidates of a literal before and after a dataset of all documents is indexed anew with text grams too."""
+    rows = contents(spark, sf_dir).select("path", "content")
+    e, query = fresh(spark, sf_dir, lambda _, paths: rows), parse_query('"andation"')
+    name = e.index(rows, ["gram3"])
+    before = e.select(query).count()
+    e.execute(f'reindex "{name}" with [gram3, text4];')
+    return spark.createDataFrame([(before, e.select(query).count())], "before long, after long")
 
 
 def false_positive_rate(spark, sf_dir):
@@ -308,9 +336,9 @@ TABLE = {
     "select_minof_too_many": (select('min 3 of ("ouer", "retition")'), docs_where("false")),
     "select_minof_all": (select('min 2 of ("ouer", "retition")'), docs_where(f"{_B3('ouer')} AND {_B3('retition')}")),
     "select_everything_short": (select('"ab"'), docs_where("true")),
-    "select_with_taints": (select_with_taints, docs_where(f"lang = 'fr' AND {_B3('ouer')}")),
-    "select_with_datasets": (select_with_datasets, docs_where(f"source IN ('src1', 'src2') AND lang = 'en' AND {_B3('ouer')}")),
-    "select_everything_by_tag": (select_everything_by_tag, docs_where("lang = 'fr'")),
+    "select_with_taints": (select('"ouer"', taints=["fr"]), docs_where(f"lang = 'fr' AND {_B3('ouer')}")),
+    "select_with_datasets": (select('"ouer"', datasets=["src1/en", "src2/en"]), docs_where(f"source IN ('src1', 'src2') AND lang = 'en' AND {_B3('ouer')}")),
+    "select_everything_by_tag": (select("{}", taints=["fr"]), docs_where("lang = 'fr'")),
     "select_mixed_index_types": (select_mixed_index_types, docs_where(f"((lang = 'en' AND {_B3('erenth')}) OR (lang <> 'en' AND {pieces('erenth', 4)}))")),
     "select_multi_table_nocheck": (select_multi_table_nocheck, f"SELECT 'd' || doc_id AS path FROM documents WHERE {pieces('ouer', 4)} UNION ALL SELECT 'c-' || conv_id || '-' || turn FROM conversations, range(2) WHERE {pieces('ouer', 4)}"),
     "unindexed_scan": (unindexed_scan, docs_where(f"({pieces('erenth', 4)}::INT + {pieces('ouer', 4)}::INT + {pieces('ations', 4)}::INT) >= 2 AND {pieces('the of', 4)}")),
@@ -319,10 +347,11 @@ TABLE = {
     "setop_intersect": (setop("intersect"), docs_where(f"{_B3('retition')} INTERSECT {docs_where(_B3('ouer'))}")),
     "setop_union": (setop("union"), docs_where(f"{_B3('retition')} UNION {docs_where(_B3('license'))}")),
     "setop_threshold": (setop("threshold"), docs_where(f"({_B3('retition')}::INT + 2 * {_B3('ouer')}::INT + {_B3('license')}::INT) >= 2")),
-    "dedupe_anti_join": (dedupe_anti_join, "SELECT doc_id::VARCHAR AS path FROM documents WHERE doc_id % 2 <> 0"),
-    "cursor_page": (cursor_page, f"SELECT place, doc_id FROM (SELECT row_number() OVER (ORDER BY source || '/' || lang, doc_id) - 1 AS place, doc_id FROM documents WHERE {_B3('the of')}) WHERE place >= 20 AND place < 45"),
+    "dedupe_anti_join": (dedupe_anti_join, "SELECT doc_id::VARCHAR AS path FROM documents WHERE text <> '' AND lang <> 'en'"),
+    "cursor_page": (cursor_page, f"SELECT place, doc_id FROM (SELECT row_number() OVER (ORDER BY source || '/' || lang, doc_id::VARCHAR) - 1 AS place, doc_id FROM documents WHERE {_B3('the of')}) WHERE place >= 20 AND place < 45"),
     "topology": (topology, f"SELECT dataset_id, file_count, coalesce(g3, 0) AS gram3_postings, coalesce(t4, 0) AS text4_postings, taint FROM (SELECT source || '/' || lang AS dataset_id, lang AS taint, count(*) AS file_count FROM documents WHERE text <> '' GROUP BY ALL) LEFT JOIN (SELECT ds, count(*) AS g3 FROM ({GRAM3}) GROUP BY ds) ON ds = dataset_id LEFT JOIN (SELECT source || '/' || lang AS d2, count(*) AS t4 FROM ({text_grams('text')}) t JOIN documents USING (doc_id) GROUP BY 1) ON d2 = dataset_id"),
-    "compact_remap": (compact_remap, "SELECT doc_id, (row_number() OVER (ORDER BY source || '/' || lang, doc_id) - 1)::INTEGER AS file_id FROM documents WHERE lang = 'en' AND text <> ''"),
+    "compact_remap": (compact_remap, "SELECT doc_id, (row_number() OVER (ORDER BY n, source, doc_id::VARCHAR) - 1)::INTEGER AS file_id FROM (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE lang = 'en' AND text <> '')"),
+    "compact_select": (compact_select, docs_where(f"lang = 'en' AND {_B3('ouer')} AND ({_B3('retition')} OR {_B3('the of')})")),
     "compact_candidates_all": (compact_candidates(False), _group_choice(False)),
     "compact_candidates_smart": (compact_candidates(True), _group_choice(True)),
     "reindex_precision": (reindex_precision, f"SELECT count(*) FILTER (WHERE {_B3('andation')}) AS before, count(*) FILTER (WHERE {pieces('andation', 4)}) AS after FROM documents WHERE text <> ''"),

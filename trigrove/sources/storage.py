@@ -30,18 +30,29 @@ class Storage:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Replaces a file as a whole: written under another name, then renamed."""
-        fs, temporary, path = self._fs(name), self._path(f"{name}.tmp"), self._path(name)
-        stream = fs.create(temporary, True)
+    def create(self, name: str, data: str | bytes) -> bool:
+        """Writes a new file; False, and nothing written, where one of that name exists."""
+        if self.exists(name):
+            return False
         try:
-            stream.write(bytearray(text.encode()))
+            stream = self._fs(name).create(self._path(name), False)
+        except Exception as e:  # another process was first
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        try:
+            stream.write(bytearray(data.encode() if isinstance(data, str) else data))
         finally:
             stream.close()
-        if not fs.rename(temporary, path):
-            fs.delete(path, False)
-            if not fs.rename(temporary, path):
-                raise OSError(f"{name} can't be written")
+        return True
+
+    def rename(self, name: str, to: str) -> None:
+        if not self._fs(name).rename(self._path(name), self._path(to)):
+            raise OSError(f"{name} can't be renamed to {to}")
+
+    def stream(self, name: str):
+        """An open stream of a new file, for contents that aren't held as a whole."""
+        return self._fs(name).create(self._path(name), True)
 
     def delete(self, name: str) -> None:
         self._fs(name).delete(self._path(name), True)
