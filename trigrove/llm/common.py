@@ -212,7 +212,7 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 SHORT = 64
 
 
-def range_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def range_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, short: int = SHORT) -> np.ndarray:
     """64-bit names of the contents data[start:end], equal for equal contents wherever they lie.
 
     Eight bytes at a time go through a scramble that isn't linear, so that there are no families of contents that
@@ -221,8 +221,8 @@ def range_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     size = end - start
     lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
     out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D))
-    long = np.flatnonzero(size > SHORT)
-    active = np.flatnonzero((size > 0) & (size <= SHORT)) if len(long) else np.arange(len(size))
+    long = np.flatnonzero(size > short)
+    active = np.flatnonzero((size > 0) & (size <= short)) if len(long) else np.arange(len(size))
     k = 0
     while len(active):
         left = np.minimum(size[active] - k, 8)
@@ -286,30 +286,65 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.n
     return out
 
 
+#: Edges that a task contracts at once.
+EDGES = 1 << 20
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v), u > v: edges (a, b) put together within each task, so that each u has one v there, the least it reaches."""
+
+    def run(batches):
+        target = arrow_schema("u long, v long")
+        held, size = [], 0
+
+        def out():
+            nonlocal held, size
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+            ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+            i, j = ends[: len(a)], ends[len(a) :]
+            label = np.arange(len(ids))
+            while True:
+                least = np.minimum(label[i], label[j])
+                new = label.copy()
+                for x in (i, j, label[i], label[j]):
+                    np.minimum.at(new, x, least)
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+            moved = np.flatnonzero(label != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], schema=target)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(batch.column(c).to_numpy() for c in ("a", "b")))
+                size += batch.num_rows
+                if size >= EDGES:
+                    yield out()
+        if held:
+            yield out()
+
+    prepared(edges.sparkSession)
+    return edges.select("a", "b").mapInArrow(run, "u long, v long")
+
+
 def components(spark: SparkSession, links: DataFrame, name: str) -> DataFrame:
-    """(id, component): the smallest id that links (a, b) reach from each id that has a link.
+    """(id, component): the smallest id that links (a, b) reach from each id that isn't the smallest itself.
 
-    Alternating large-star and small-star steps; each round is written to the shared folder, and the
-    number of rounds grows with the logarithm of the longest chain.
+    Tasks first contract what they hold. Then, round by round, the smaller neighbours of each id are linked to the least
+    of them, and links to an id go on to that id's least neighbour, until nothing moves. Each round is written to the
+    shared folder; the number of rounds grows with the logarithm of the longest chain.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = written(edges, f"{name}-edges")
-    before = None
+    edges, before = contracted(links), None
     while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        low = written(low, f"{name}-low")  # a join of two plain exchanges: Spark splits a hub's rows
-        large = both.where("v > u").join(growing(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, f"{name}-large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
-        small = (
-            large.join(growing(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
-        small = written(small, f"{name}-small")
-        delete(edges, large)
-        edges = small
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-        before = now
+        least = edges.groupBy("u").agg(F.sort_array(F.collect_set("v")).alias("vs"))
+        least = written(least.select("u", F.element_at("vs", 1).alias("m"), F.slice("vs", F.lit(2), F.size("vs")).alias("rest")), f"{name}-least")
+        rows = least.select("u", F.col("m").alias("v"), F.lit(False).alias("moved")).unionByName(least.select(F.explode("rest").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved")))
+        onward = least.select(F.col("u").alias("v"), F.col("m").alias("p"))  # a join of two plain exchanges: Spark splits a hub's rows
+        now = rows.join(growing(onward), "v", "left").select("u", F.coalesce("p", "v").alias("v"), (F.col("moved") | F.col("p").isNotNull()).alias("moved"))
+        now = written(now, f"{name}-edges")
+        delete(least, *([before] if before is not None else []))
+        if not now.where("moved").limit(1).count():
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        edges = before = now

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op10_mixing": mixing.SQL}
+    return {"op1_warc": warc.SQL, "op2_vectors": vectors.SQL, "op4_jaccard": jaccard.SQL, "op7_suffixes": suffixes.SQL, "op10_mixing": mixing.SQL}

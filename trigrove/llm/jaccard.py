@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, components, cut, delete, growing, map_arrow, mix, read, shingles, text_bytes, written
+from trigrove.llm.common import arrow_schema, components, contracted, cut, delete, growing, map_arrow, mix, read, shingles, text_bytes, written
 
 #: Link at 100 * intersection >= PERCENT * union of shingles of WIDTH words.
 PERCENT, WIDTH = 75, 5
@@ -20,7 +20,7 @@ HOT, LEAST, WINDOW = 65_536, 32, 16 << 20
 #: Hashes of the sample that a set carries along, and how many two linked sets have in common at least (but for a chance under 2 ** -42).
 SAMPLE, COMMON = 48, 12
 #: Sets that a task compares at once of one key's list; the lists of more are dealt out in blocks.
-LIST = 512
+LIST = 1024
 #: Sets that one comparison holds at most of either side, and hashes in them (a larger set is a block of its own).
 BLOCK, HASHES = 1024, 1 << 19
 
@@ -191,37 +191,39 @@ def near_in_list(sizes: np.ndarray, values: np.ndarray, begin: np.ndarray, side:
 JOB = ["key", "lump1", "lump2", "block1", "block2"]
 
 
-def dealt(hot: DataFrame) -> DataFrame:
+def dealt(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members of hot keys' lists (key, rid, n, sample) as jobs of at most two blocks of about LIST members.
 
     First every member is compared with the list's least one, and who may link with it is of its tree. A list of one
     tree is settled by that. In the others each large tree is a lump of blocks of its own, whose members need no
     comparison with each other, and the rest is one more lump: so a large group of near copies meets only what isn't of it.
+    The trees' edges (a, b) come along.
     """
-    least = hot.groupBy("key").agg(F.min("rid").alias("rid"))
-    roots = written(least.join(growing(hot), ["key", "rid"]).select("key", F.col("rid").alias("root"), F.col("n").alias("root_n"), F.col("sample").alias("root_sample")).dropDuplicates(["key"]), "jaccard-roots")
+    roots = written(hot.groupBy("key").agg(F.min(F.struct("rid", "n", "sample")).alias("r")).select("key", F.col("r.rid").alias("root"), F.col("r.n").alias("root_n"), F.col("r.sample").alias("root_sample")), "jaccard-roots")
     need = F.least(F.lit(COMMON), F.floor(F.least("n", "root_n") * 0.4))
     alike = (100 * F.least("n", "root_n") >= PERCENT * F.greatest("n", "root_n")) & (F.size(F.array_intersect("sample", "root_sample")) >= need)
-    star = written(hot.join(growing(roots), "key").where((F.col("rid") != F.col("root")) & alike).select(F.col("rid").alias("a"), F.col("root").alias("b")).distinct(), "jaccard-stars")
-    trees = written(components(hot.sparkSession, star, "jaccard-trees"), "jaccard-trees")
+    star = written(contracted(hot.join(growing(roots), "key").where((F.col("rid") != F.col("root")) & alike).select(F.col("rid").alias("a"), F.col("root").alias("b"))), "jaccard-stars")
+    star = star.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    trees = components(hot.sparkSession, star, "jaccard-trees")
     rows = hot.join(growing(trees), hot["rid"] == trees["id"], "left").select("key", "rid", "n", "sample", F.coalesce("component", "rid").alias("tree"))
     rows = written(rows, "jaccard-hot")
-    sizes = written(rows.groupBy("key", "tree").agg(F.count("*").alias("m")).select("key", "tree", "m", F.when(F.col("m") > LIST // 2, F.col("tree")).otherwise(-1).alias("lump")), "jaccard-lumps")
+    sizes = rows.groupBy("key", "tree").agg(F.count("*").alias("m")).withColumn("lump", F.when(F.col("m") > LIST // 2, F.col("tree")).otherwise(-1))
+    sizes = written(sizes, "jaccard-lumps")
     lumps = sizes.groupBy("key", "lump").agg(F.ceil(F.sum("m") / LIST).cast("int").alias("blocks"))
-    rows = rows.join(growing(sizes.select("key", "tree", "lump")), ["key", "tree"])
-    rows = written(rows.select("key", "lump", "rid", "n", "sample", "tree"), "jaccard-members")
-    lumps = written(lumps, "jaccard-blocks")
-    one, two = lumps.select("key", F.col("lump").alias("lump1"), F.col("blocks").alias("blocks1")), lumps.select("key", F.col("lump").alias("lump2"), F.col("blocks").alias("blocks2"))
-    meets = written(one.join(growing(two), "key").where("lump1 < lump2 OR (lump1 = -1 AND lump2 = -1)"), "jaccard-meets")
-    own = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
-    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.join(growing(meets.withColumn("lump", F.col("lump1"))), ["key", "lump"]).withColumn("mine", own("blocks1")).withColumn("other", to("blocks2"))
+    # lumps are fewer than a list's members by LIST / 2 at least, so a list of them is small beside what it stands for
+    lumps = lumps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lump", "blocks"))).alias("all"))
+    meets = lumps.select("key", "all", F.explode("all").alias("one")).select("key", "one", F.explode(F.filter("all", lambda x: (x["lump"] > F.col("one.lump")) | ((x["lump"] == -1) & (F.col("one.lump") == -1)))).alias("two"))
+    visits = [F.col("one.lump").alias("lump1"), F.col("two.lump").alias("lump2")]
+    first = meets.select("key", F.col("one.lump").alias("lump"), *visits, F.col("one.blocks").alias("own"), F.col("two.blocks").alias("others"), F.lit(0).alias("side"))
+    second = meets.where("one.lump < two.lump").select("key", F.col("two.lump").alias("lump"), *visits, F.col("two.blocks").alias("own"), F.col("one.blocks").alias("others"), F.lit(1).alias("side"))
+    visits = written(first.unionByName(second), "jaccard-meets")
+    placed = written(rows.join(growing(sizes.select("key", "tree", "lump")), ["key", "tree"]), "jaccard-placed")
+    out = placed.join(growing(visits), ["key", "lump"]).withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("own")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     within = F.col("lump1") == F.col("lump2")
-    columns = ["key", "lump1", "lump2", F.when(within, F.least("mine", "other")).otherwise(F.col("mine")).alias("block1"), F.when(within, F.greatest("mine", "other")).otherwise(F.col("other")).alias("block2")]
-    left = left.select(*columns, F.when(within & (F.col("mine") > F.col("other")), 1).otherwise(0).alias("side"), "rid", "n", "sample", "tree")
-    right = rows.join(growing(meets.where("lump1 < lump2").withColumn("lump", F.col("lump2"))), ["key", "lump"]).withColumn("mine", own("blocks2")).withColumn("other", to("blocks1"))
-    right = right.select("key", "lump1", "lump2", F.col("other").alias("block1"), F.col("mine").alias("block2"), F.lit(1).alias("side"), "rid", "n", "sample", "tree")
-    return left.unionByName(right), star
+    block1 = F.when(within, F.least("mine", "other")).when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other"))
+    block2 = F.when(within, F.greatest("mine", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine"))
+    side = F.when(within & (F.col("mine") > F.col("other")), 1).otherwise(F.col("side"))
+    return out.select("key", "lump1", "lump2", block1.alias("block1"), block2.alias("block2"), side.alias("side"), "rid", "n", "sample", "tree"), star
 
 
 def candidate_groups(reps: DataFrame, keys: DataFrame) -> DataFrame:

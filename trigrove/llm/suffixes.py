@@ -9,21 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import BASE, CHUNK_BYTES, arrow_schema, cut, delete, growing, mix, powers, prefix_hash, range_hash, read, text_bytes, written
+from trigrove.llm.common import BASE, CHUNK_BYTES, arrow_schema, cut, delete, growing, mix, powers, prefix_hash, range_hash, range_names, read, text_bytes, written
 
 #: Bytes of a repeated passage, at least, and of the grams whose least hash anchors a window of that length.
 LENGTH, GRAM = 100, 32
 #: Bits of a position in a segment of text, and windows of a segment at most.
 PLACE, SEGMENT = 22, 1 << 21
-#: Contexts that one sort holds of an anchor at most; the windows of more are sorted by their own hash.
-CONTEXTS = 8192
+#: Contexts that one sort holds of an anchor at most; the windows of more are grouped by their content.
+CONTEXTS = 1024
 
 
-def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first, last, gram hash, context hash) of the windows that begin at the ``valid`` positions of data.
+def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor, first, last, gram hash, context digest in two halves) of the windows that begin at the ``valid`` positions of data.
 
     A window's anchor is the leftmost of its grams with the least hash. Consecutive windows of one anchor are one
-    row: they begin at first..last, and their context is data[first : last + LENGTH].
+    row: they begin at first..last, and their context is data[first : last + LENGTH]. The halves of its digest are
+    hashes of different kinds, a polynomial and a scramble of eight bytes at a time, with the anchor's place mixed in.
     """
     prefix = prefix_hash(data)
     n = len(data) - GRAM + 1
@@ -47,8 +48,10 @@ def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begin = np.flatnonzero(new)
     first, last, at = valid[begin], valid[np.append(begin[1:], len(valid)) - 1], at[begin]
     grams = mix(raw[at])
-    context = mix(range_hash(prefix, first, last + LENGTH) + (at - first).astype(np.uint64) * np.uint64(BASE)) ^ grams
-    return at, first, last, grams, context
+    place = (at - first).astype(np.uint64) * np.uint64(BASE)
+    context = mix(range_hash(prefix, first, last + LENGTH) + place) ^ grams
+    check = mix(range_names(data, first, last + LENGTH, 2 * LENGTH) + place)
+    return at, first, last, grams, context, check
 
 
 def segments(data: np.ndarray, offsets: np.ndarray):
@@ -68,33 +71,32 @@ def segments(data: np.ndarray, offsets: np.ndarray):
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(h, c, rid, at): each text's anchored contexts; ``at`` packs first start, number of windows less 1, and a flag.
+    """(h, c, d, rid, at): each text's anchored contexts; ``at`` packs first start, number of windows less 1, and a flag.
 
-    The flag marks a context that the same text has before.
+    c and d are the halves of the context's digest. The flag marks a context that the same text has before.
     """
 
     def run(batches):
-        target = arrow_schema("h long, c long, rid long, at long")
+        target = arrow_schema("h long, c long, d long, rid long, at long")
         for batch in batches:
             for part in cut(batch, CHUNK_BYTES):
                 data, offsets = text_bytes(part.column("text"))
                 ids = part.column("rid").to_numpy(zero_copy_only=False)
                 got = []
                 for piece, valid, text, begins in segments(data, offsets):
-                    _, first, last, grams, context = anchors(piece, valid)
+                    _, first, last, grams, context, check = anchors(piece, valid)
                     of = text[np.searchsorted(valid, first)]
-                    got.append((grams, context, of, begins + first - offsets[of], last - first))
+                    got.append((grams, context, check, of, begins + first - offsets[of], last - first))
                 if not got:
                     continue
-                grams, context, of, first, more = (np.concatenate(x) for x in zip(*got))
-                order = np.lexsort((first, context, of))
+                grams, context, check, of, first, more = (np.concatenate(x) for x in zip(*got))
+                order = np.lexsort((first, check, context, of))
                 again = np.zeros(len(order), np.int64)
-                again[order[1:]] = (context[order[1:]] == context[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[of]), pa.array(first << 9 | more << 1 | again)], schema=target
-                )
+                again[order[1:]] = (context[order[1:]] == context[order[:-1]]) & (check[order[1:]] == check[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
+                halves = [pa.array(x.view(np.int64)) for x in (grams, context, check)]
+                yield pa.RecordBatch.from_arrays([*halves, pa.array(ids[of]), pa.array(first << 9 | more << 1 | again)], schema=target)
 
-    return docs.select("rid", "text").mapInArrow(run, "h long, c long, rid long, at long")
+    return docs.select("rid", "text").mapInArrow(run, "h long, c long, d long, rid long, at long")
 
 
 class SuffixSorter:
@@ -241,43 +243,57 @@ def covers(docs: DataFrame) -> DataFrame:
     """(rid, s, e): intervals of bytes whose union is what 100-byte strings cover that also start earlier.
 
     Any such string has an anchor, whose gram its earlier copy shares; so only grams that occur twice matter. Where all
-    contexts of a gram are equal, the first text's is kept and the others are covered whole. Else equal contexts
-    are put together, and one of each is compared with the gram's others, window by window, by sorting suffixes.
+    contexts of a gram have one 128-bit digest, the first text's is kept and the others are covered whole. Else contexts
+    of one digest are put together, and one of each is compared with the gram's others, window by window, by sorting
+    suffixes. Windows of a gram with over CONTEXTS different contexts are grouped by their bytes instead.
     """
     begins, more, again = F.shiftright("at", 9), F.shiftright(F.col("at").bitwiseAND(0x1FE), 1), F.col("at").bitwiseAND(1)
-    shared = occurrences(docs).groupBy("h").agg(F.min("rid").alias("first_rid"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = written(shared, "suffixes-shared")
-    found = written(occurrences(docs).join(growing(shared), "h").select("h", "c", "rid", "at", "first_rid", (F.col("c1") != F.col("c2")).alias("several")), "suffixes-found")
+    ends = [F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("d").alias("d1"), F.max("d").alias("d2")]
+    shared = occurrences(docs).groupBy("h").agg(F.min("rid").alias("first_rid"), *ends, F.count("*").alias("n")).where("n > 1")
+    shared = written(shared.select("h", "first_rid", F.expr("c1 <> c2 OR d1 <> d2").alias("several")), "suffixes-shared")
+    found = written(occurrences(docs).join(growing(shared), "h"), "suffixes-found")
     whole = [begins.alias("s"), (begins + more + LENGTH).alias("e")]
     plain = found.where((again == 1) | (~F.col("several") & (F.col("rid") != F.col("first_rid")))).select("rid", *whole)
-    several = found.where(F.col("several") & (again == 0)).select("h", "c", "rid", "at")
-    kinds = written(several.groupBy("h", "c").agg(F.min(F.struct("rid", "at")).alias("m"), F.count("*").alias("n")).select("h", "c", "m.rid", "m.at", "n"), "suffixes-kinds")
-    copies = several.join(growing(kinds.where("n > 1").select("h", "c", F.col("rid").alias("own"))), ["h", "c"]).where("rid <> own").select("rid", *whole)
+    several = found.where(F.col("several") & (again == 0)).select("h", "c", "d", "rid", "at")
+    kinds = written(several.groupBy("h", "c", "d").agg(F.min(F.struct("rid", "at")).alias("m"), F.count("*").alias("n")).select("h", "c", "d", "m.rid", "m.at", "n"), "suffixes-kinds")
+    copies = several.join(growing(kinds.where("n > 1").select("h", "c", "d", F.col("rid").alias("own"))), ["h", "c", "d"]).where("rid <> own").select("rid", *whole)
     sizes = written(kinds.groupBy("h").agg(F.count("*").alias("m")).where(f"m > {CONTEXTS}").select("h", F.lit(True).alias("hot")), "suffixes-hot")
     wanted = kinds.join(sizes, "h", "left").select("rid", F.struct("h", begins.alias("first"), more.alias("more"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
-    wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("w"))
+    wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("w"))  # no more than the text has room for
     fetched = docs.select("rid", "text").join(growing(wanted), "rid").select("rid", "text", F.col("w.h").alias("hs"), F.col("w.first").alias("firsts"), F.col("w.more").alias("mores"), F.col("w.hot").alias("hots"))
 
     def fetch(batches):
         target = arrow_schema("h long, rid long, first long, context binary")
         for batch in batches:
             for part in cut(batch, 2 * CHUNK_BYTES):
-                rows: list[tuple] = []
                 for rid, text, hs, firsts, mores, hots in zip(*(part.column(c).to_pylist() for c in ("rid", "text", "hs", "firsts", "mores", "hots")), strict=True):
-                    data = text.encode()
+                    data, rows = text.encode(), []
                     for h, first, more, hot in zip(hs, firsts, mores, hots, strict=True):
-                        if not hot:
+                        if hot:  # its windows one by one, without the key
+                            rows.extend((None, rid, k, data[k : k + LENGTH]) for k in range(first, first + more + 1))
+                        else:
                             rows.append((h, rid, first, data[first : first + more + LENGTH]))
-                            continue
-                        for k in range(first, first + more + 1):  # a key of its own for each content
-                            window = data[k : k + LENGTH]
-                            rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big", signed=True), rid, k, window))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), target)], schema=target)
-
-    apart = compared(fetched.mapInArrow(fetch, "h long, rid long, first long, context binary"))
+                        if len(rows) > 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), target)], schema=target)
+                            rows = []
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), target)], schema=target)
+
+    contexts = fetched.mapInArrow(fetch, "h long, rid long, first long, context binary")
+    hot = sizes.limit(1).count() > 0
+    if hot:
+        contexts = written(contexts, "suffixes-contexts")
+    apart = compared(contexts.where("h IS NOT NULL"))
+    if hot:
+        windows = contexts.where("h IS NULL").select("context", "rid", "first")
+        earliest = windows.groupBy("context").agg(F.min(F.struct("rid", "first")).alias("m"), F.count("*").alias("n")).where("n > 1")
+        earliest = written(earliest.select("context", F.col("m.rid").alias("rid0"), F.col("m.first").alias("first0")), "suffixes-earliest")
+        later = windows.join(growing(earliest), "context").where("rid <> rid0 OR first <> first0")
+        apart = apart.unionByName(later.select("rid", F.col("first").alias("s"), (F.col("first") + LENGTH).alias("e")))
     out = written(plain.unionByName(copies).unionByName(apart), "suffixes-covers")
     delete(shared, found, kinds, sizes)
+    if hot:
+        delete(contexts, earliest)
     return out
 
 
@@ -363,3 +379,30 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return changed.unionByName(pack.where("_ss IS NULL")).select(*[F.col(f"`{c}`") for c in columns])
+
+
+#: The operator's rows in DuckDB SQL: windows as hexadecimal text, cut from pieces so that none is far into its string.
+SQL = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+pieces AS (
+  SELECT doc_id, c * 256 AS base, substr(x, c * 512 + 1, 512 + 198) AS piece
+  FROM (SELECT doc_id, x, unnest(range(0, (length(x) // 2 + 255) // 256)) AS c FROM t)),
+windows AS (
+  SELECT doc_id, base + k AS k, substr(piece, 2 * k + 1, 200) AS w
+  FROM (SELECT doc_id, base, piece, unnest(range(0, least(256, length(piece) // 2 - 99))) AS k FROM pieces)),
+later AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY w ORDER BY doc_id, k) AS place FROM windows) WHERE place > 1),
+begun AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 100 THEN 0 ELSE 1 END AS new FROM later),
+spans AS (
+  SELECT doc_id, min(k) AS s, max(k) + 100 AS e
+  FROM (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM begun) GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, e AS a, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS b FROM spans
+  UNION ALL SELECT doc_id, 0, min(s) FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT t.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, length(x) // 2) - a)), '' ORDER BY a) AS left_
+  FROM gaps JOIN t USING (doc_id) GROUP BY t.doc_id),
+totals AS (SELECT doc_id, sum(e - s) AS gone, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT t.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(left_, x))) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
+"""

@@ -335,7 +335,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
         lists = int(max(1, min(4096, -(-count // list_rows))))
         index = fit(unit(np.stack(list(sample)))[1].astype(np.float32), lists)
         found = found.unionByName(pairs(fitting, index, threshold))
-    links = found.where("b IS NOT NULL").select("a", "b").distinct()
+    links = found.where("b IS NOT NULL").select("a", "b")
     others = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     if lengths:
         reached = written(components(spark, links, "vectors").withColumnRenamed("id", "rep"), "vectors-reached")
@@ -358,3 +358,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+#: The operator's rows in DuckDB SQL.
+SQL = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+firsts AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, v.vec_id)::BIGINT AS component_id, coalesce(least, v.vec_id) = v.vec_id AS kept
+FROM embeddings v LEFT JOIN firsts f ON f.a = v.vec_id LEFT JOIN counts c ON c.a = v.vec_id
+"""
