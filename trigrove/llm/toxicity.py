@@ -107,32 +107,28 @@ def learn(texts: list[str | None], toxic: list[int], least: int = 4, ratio: floa
     Weights are log odds with half a text added. A phrase of a term and its neighbour that toxic texts don't have
     is an exception. The logistic is fitted to the same texts. Without both labels the lexicon is empty.
     """
-    folded = [fold(t or "") for t in texts]
+    return learn_folded([fold(t or "") for t in texts], toxic, least, ratio)
+
+
+def learn_folded(folded: list[str], toxic: list[int], least: int = 4, ratio: float = 2.0) -> Lexicon:
+    """``learn`` of texts that are folded already."""
     counts = [len(toxic) - sum(map(bool, toxic)), sum(map(bool, toxic))]
     if not all(counts):
         return Lexicon({}, bias=-2.2 if counts[0] or not counts[1] else 2.2)
-
-    known: dict[str, tuple[str, ...]] = {}  # a word's parts; words are few beside their occurrences
-
-    def parts(text: str) -> set[str]:
-        out: set[str] = set()
-        for w in set(text.split()):
-            if (mine := known.get(w)) is None:
-                mine = known[w] = (f"{w} ", *(w[:k] for k in range(4, min(8, len(w)) + 1)))
-            out.update(mine)
-        return out
-
     with_it = Counter()
     for text, label in zip(folded, toxic, strict=True):
         if label:
-            with_it.update(parts(text))
+            with_it.update({p for w in set(text.split()) for p in (f"{w} ", *(w[:k] for k in range(4, min(8, len(w)) + 1)))})
     with_it = Counter({t: n for t, n in with_it.items() if n >= least})
-    known.clear()
     without = Counter()  # only of terms that can be chosen: the clean texts' others are many
     for text, label in zip(folded, toxic, strict=True):
         if not label:
-            without.update(parts(text) & with_it.keys())
-    known.clear()
+            found = set()
+            for w in set(text.split()):
+                # a word's first four letters are as frequent as any longer part of it
+                if len(w) < 4 or w[:4] in with_it:
+                    found.update(p for p in (f"{w} ", *(w[:k] for k in range(4, min(8, len(w)) + 1))) if p in with_it)
+            without.update(found)
     odds = lambda term: math.log((with_it[term] + 0.5) / (counts[1] + 1)) - math.log((without[term] + 0.5) / (counts[0] + 1))
     terms = {}
     for term, n in with_it.items():
@@ -148,13 +144,10 @@ def learn(texts: list[str | None], toxic: list[int], least: int = 4, ratio: floa
     lexicon = Lexicon(lean)
     stems = {t.rstrip() for t in lean}
     pairs_with, pairs_without = Counter(), Counter()
-    hits: dict[str, bool] = {}
+    heads = {s[:3] for s in stems}
     for text, label in zip(folded, toxic, strict=True):
         names = text.split()
-        for w in names:
-            if w not in hits:
-                hits[w] = any(w[:k] in stems for k in range(2, len(w) + 1))
-        hit = [hits[w] for w in names]
+        hit = [(w[:3] in heads or w[:2] in heads) and any(w[:k] in stems for k in range(2, len(w) + 1)) for w in names]
         near = {f"{a} {b}" for a, b, x, y in zip(names, names[1:], hit, hit[1:]) if x or y}
         (pairs_with if label else pairs_without).update(near)
     lexicon.exceptions = {p for p, n in pairs_without.items() if n >= least and n > 20 * pairs_with[p] * counts[0] / counts[1]}
@@ -211,7 +204,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, mos
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Lexicon:
     """The lexicon of the documents' labels (column ``toxic``), from at most ``most`` rows that aren't held out."""
     rows = training_rows(docs, labels, "toxic", most)
-    return learn([r["text"] for r in rows], [r["y"] for r in rows])
+    toxic, folded = [r["y"] for r in rows], []
+    while rows:  # a text goes when it is folded
+        folded.append(fold(rows.pop()["text"]))
+    return learn_folded(folded[::-1], toxic)
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
