@@ -14,7 +14,7 @@ from trigrove.llm.common import BASE, CHUNK_BYTES, arrow_schema, cut, delete, gr
 #: Bytes of a repeated passage, at least, and of the grams whose least hash anchors a window of that length.
 LENGTH, GRAM = 100, 32
 #: Bits of a position in a segment of text, and windows of a segment at most.
-PLACE, SEGMENT = 22, 1 << 21
+PLACE, SEGMENT = 22, 1 << 19
 #: Contexts that one sort holds of an anchor at most; the windows of more are grouped by their content.
 CONTEXTS = 1024
 
@@ -79,7 +79,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches):
         target = arrow_schema("h long, c long, d long, rid long, at long")
         for batch in batches:
-            for part in cut(batch, CHUNK_BYTES):
+            for part in cut(batch, CHUNK_BYTES // 2):
                 data, offsets = text_bytes(part.column("text"))
                 ids = part.column("rid").to_numpy(zero_copy_only=False)
                 got = []
