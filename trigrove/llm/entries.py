@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc": warc.query,
         "op2_vectors": vectors.query,
         "op3_urls": urls.query,
+        "url_rules": urls.rules_query,
         "op4_jaccard": jaccard.query,
         "op5_parsing": parsing.query,
         "op6_packing": packing.query,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op2_vectors": vectors.SQL, "op4_jaccard": jaccard.SQL, "op7_suffixes": suffixes.SQL, "op10_mixing": mixing.SQL}
+    return {"op1_warc": warc.SQL, "op2_vectors": vectors.SQL, "url_rules": urls.RULES_SQL, "op4_jaccard": jaccard.SQL, "op7_suffixes": suffixes.SQL, "op10_mixing": mixing.SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,7 +51,7 @@ def suffixes_of(host: str) -> list[str]:
 
 def features(urls: list[str | None], hosts: list[str], paths: list[str], share: dict[str, float], base: float) -> np.ndarray:
     """One row of numbers per URL: lengths, depth, digit and sign ratios, entropies, parameters, suffix statistics."""
-    out = np.zeros((len(urls), 20 + 3), np.float64)
+    out = np.zeros((len(urls), 22 + 3), np.float64)
     for row, url, host, path in zip(out, urls, hosts, paths, strict=True):
         url = url or ""
         query = url.partition("?")[2].partition("#")[0]
@@ -59,16 +60,16 @@ def features(urls: list[str | None], hosts: list[str], paths: list[str], share:
         p = counts / max(1, len(codes))
         parts = [x for x in path.split("/") if x]
         n = max(1, len(url))
-        row[:20] = (
+        row[:22] = (
             len(url), len(host), len(path), len(query), host.count("."), len(parts), path.count("-") + path.count("_"),
             sum(c.isdigit() for c in url) / n, sum(c.isdigit() for c in host), sum(not c.isalnum() for c in url) / n,
             float(-(p * np.log2(p)).sum()) if len(p) else 0.0, query.count("=") + (query != "" and "=" not in query), query.count("&"), "#" in url,
             url[:8].lower() == "https://", host.startswith("www."), path.endswith("/"), "." in (parts[-1] if parts else ""),
-            max(map(len, parts), default=0), len(parts[0]) if parts else 0,
+            max(map(len, parts), default=0), len(parts[0]) if parts else 0, host.count("-"), max(map(len, host.split("."))),
         )
         known = [share.get(s, base) for s in suffixes_of(host)]
-        row[20 : 20 + len(known)] = known
-        row[20 + len(known) :] = base
+        row[22 : 22 + len(known)] = known
+        row[22 + len(known) :] = base
     return out
 
 
@@ -146,16 +147,30 @@ class UrlModel:
         return self.trees.score(features(urls, hosts, paths, self.share, self.base))
 
 
-def learn(rows: list[tuple[str | None, str, str, int]], suffixes: int = SUFFIXES) -> UrlModel:
-    """A model of (url, host, path, blocked). A suffix's share of blocked URLs is shrunk towards the whole share."""
+#: Parts of the training rows: each row's suffix shares come from the other parts, or they would give its label away.
+FOLDS = 5
+
+
+def shares(rows: list[tuple[str | None, str, str, int]], suffixes: int) -> tuple[dict[str, float], float]:
+    """The share of blocked URLs of the most frequent suffixes, shrunk towards the whole share; and that."""
     base = sum(r[3] for r in rows) / len(rows) if rows else 0.0
     seen: dict[str, list[int]] = {}
     for _, host, _, blocked in rows:
         for s in suffixes_of(host):
             seen.setdefault(s, []).append(blocked)
     common = sorted(seen, key=lambda s: (-len(seen[s]), s))[:suffixes]
-    share = {s: (sum(seen[s]) + 10 * base) / (len(seen[s]) + 10) for s in common}
-    x = features([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], share, base)
+    return {s: (sum(seen[s]) + 10 * base) / (len(seen[s]) + 10) for s in common}, base
+
+
+def learn(rows: list[tuple[str | None, str, str, int]], suffixes: int = SUFFIXES) -> UrlModel:
+    """A model of (url, host, path, blocked). In training a row's suffix shares are those of the other rows' parts."""
+    part = [zlib.crc32((r[0] or "").encode("utf-8", "surrogatepass")) % FOLDS for r in rows]
+    x = np.zeros((len(rows), 25))
+    for k in range(FOLDS):
+        mine = [i for i, p in enumerate(part) if p == k]
+        share, base = shares([r for r, p in zip(rows, part, strict=True) if p != k], suffixes)
+        x[mine] = features([rows[i][0] for i in mine], [rows[i][1] for i in mine], [rows[i][2] for i in mine], share, base)
+    share, base = shares(rows, suffixes)
     return UrlModel(share, base, boost(x, np.array([r[3] for r in rows], float)))
 
 
@@ -198,3 +213,21 @@ def judged(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, mos
 def query(spark, sf_dir: str) -> DataFrame:
     # only ids and URLs are kept of the pages, so the model's training and the judging read few bytes
     return judged(written(read(spark, sf_dir, "pages").select("page_id", "url"), "urls"))
+
+
+def rules_query(spark, sf_dir: str) -> DataFrame:
+    """What doesn't depend on the trees: page_id, host, path, rule and the rule's verdict."""
+    return split(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The rows of ``rules_query`` in DuckDB SQL.
+RULES_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(verdict, name, prefix) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (
+  SELECT page_id, arg_max(name || prefix, length(name || prefix)) AS rule, arg_max(verdict, length(name || prefix)) AS verdict
+  FROM p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, verdict FROM p LEFT JOIN fits USING (page_id)
+"""
