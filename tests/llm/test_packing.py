@@ -60,3 +60,19 @@ def test_the_tightest_compatible_bin_is_found(pieces):
         b["sources"][source] += 1
         b["clusters"].add(cluster)
         assert b["n"] <= 12
+
+
+def test_reruns_agree_whatever_the_partitions(spark):
+    rows = [(k // 3, "w " * (40 + k % 5 * 30), f"s{k % 2}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = lambda df: sorted(map(str, packing.packed(df, capacity=64, per_source=2, shard_rows=20).collect()))
+    assert told(docs.repartition(7)) == told(docs.coalesce(1))
+
+
+def test_shards_fill_nearly_as_one(spark):
+    """Bins of sharded packing against those of all pieces packed together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = [len({r["bin"] for r in packing.packed(docs, shard_rows=n).collect() if r["bin"]}) for n in (100, 10**9)]
+    words = sum(len(WORDS.findall(r["text"] or "")) for r in docs.collect())
+    print("bins in shards of 100, in one, and at least:", counts, -(-words // packing.CAPACITY))
+    assert counts[0] <= 1.15 * counts[1]

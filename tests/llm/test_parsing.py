@@ -55,3 +55,35 @@ def test_equal_parts_share_names_at_any_offset():
     assert P.likeness(*P.fingerprints([core, b"prefix " + core])) > 0.9
     assert P.likeness(*P.fingerprints([core, core[::-1]])) < 0.1
     assert P.likeness(*P.fingerprints([b"", b""])) == 1.0 and P.likeness(*P.fingerprints([b"", b"a"])) == 0.0
+
+
+def parsed_by_hand(symbols):
+    """One level by plain loops: runs as one symbol, three tosses, phrases from local minima on."""
+    runs = []
+    for x in symbols:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    label = [x for x, _ in runs]
+    for _ in range(3):
+        left = [label[0] ^ 1] + label[:-1]
+        low = [((a ^ b) & -(a ^ b)).bit_length() - 1 for a, b in zip(label, left)]
+        label = [2 * p + (a >> p & 1) for a, p in zip(label, low)]
+    starts = [0] + [k for k in range(1, len(label)) if label[k] < label[k - 1] and (k + 1 == len(label) or label[k] <= label[k + 1])]
+    return [tuple(map(tuple, runs[a:b])) for a, b in zip(starts, starts[1:] + [len(runs)])]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("abcd ", min_size=1, max_size=200))
+def test_phrases_against_plain_loops(text):
+    """Equal phrases have equal names and others have others, level by level."""
+    import numpy as np
+
+    symbols, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    for _ in range(P.LEVELS):
+        want = parsed_by_hand(symbols.tolist())
+        symbols, offsets = P.level(symbols, offsets)
+        assert len(symbols) == len(want)
+        names = dict(zip(want, symbols.tolist()))
+        assert [names[w] for w in want] == symbols.tolist() and len(set(names.values())) == len(names)

@@ -97,10 +97,12 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOUR
     sized = written(sized, "packing-sizes")
     shards = max(1, -(-sized.count() // shard_rows))
     fulls = F.floor(F.col("n") / capacity).cast("int")
-    whole = sized.where(fulls >= 1).select("doc_id", "source", "cluster", F.explode(F.sequence(F.lit(0), fulls - 1)).alias("piece"), "draw")
+    # rows that repeat are told apart by a number, so that reruns give the same names
+    whole = sized.where(fulls >= 1).groupBy("doc_id", "source", "cluster", "n", "draw").agg(F.count("*").alias("rows"))
+    whole = whole.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select("doc_id", "source", "cluster", F.explode(F.sequence(F.lit(0), fulls - 1)).alias("piece"), "draw", "row")
     whole = whole.select(
         "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("piece_start"), F.lit(capacity).cast("long").alias("n_words"),
-        F.concat(F.lit("w"), F.hex("draw"), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("bin"), F.lit(0).cast("long").alias("bin_offset"), "source", "cluster",
+        F.concat_ws("-", F.concat(F.lit("w"), F.hex("draw")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "row", "piece").alias("bin"), F.lit(0).cast("long").alias("bin_offset"), "source", "cluster",
     )
     empty = sized.where("n = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("piece_start"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("string").alias("bin"), F.lit(None).cast("long").alias("bin_offset"), "source", "cluster")
     rest = sized.withColumn("rest", F.col("n") % capacity).where("rest > 0")

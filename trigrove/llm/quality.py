@@ -107,7 +107,7 @@ class Model:
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
     def vote(self, x: np.ndarray) -> np.ndarray:
-        """Blocked cosines with every labelled vector; the nearest vote by the excess of their similarity over the next."""
+        """Blocked cosines with every labelled vector; of the nearest each votes with the weight exp(8 (cosine - the best))."""
         if not len(self.vectors):
             return np.full(len(x), self.prior)
         k = min(self.neighbours, len(self.vectors))

@@ -152,7 +152,8 @@ def learn_folded(folded: list[str], toxic: list[int], least: int = 4, ratio: flo
         (pairs_with if label else pairs_without).update(near)
     lexicon.exceptions = {p for p, n in pairs_without.items() if n >= least and n > 20 * pairs_with[p] * counts[0] / counts[1]}
     x = np.array([lexicon.feature_of(t) for t in folded])
-    lexicon.slope, lexicon.bias = fit_logistic(x, np.array(toxic, float))
+    lexicon.slope, bias = fit_logistic(x, np.array(toxic, float))
+    lexicon.bias = min(bias, -0.05)  # a text without evidence is never called toxic
     return lexicon
 
 
@@ -228,7 +229,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that score below 0.5, with all their columns and in any number of repeated rows.
 
-    A null or empty text has the score of no evidence, and so stays unless labels mark all such evidence as toxic.
+    A null or empty text has the score of no evidence, and so stays, unless all labels there are say toxic.
     Ids and other columns may be null; an empty table gives no rows, and without labels all documents stay.
     """
     prepared(spark)
