@@ -1,8 +1,9 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from tests.llm.helpers import WORDS, jaccard, repeats
+from tests.llm.helpers import BASE, WORDS, awkward, jaccard, repeats
 from trigrove.llm import mixing, packing, toxicity
+from trigrove.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,22 @@ def test_stages_equal_brute_force(spark):
 def test_run(spark):
     assert len(corpus_pipeline.STAGES) == 5
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_awkward_and_empty_documents(spark, tmp_path):
+    spark.createDataFrame([(0, 1), (3, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [r[:5] for r in awkward()]
+    for name, some in (("all", rows + rows[:3] + [(None, BASE, None, None, None)]), ("none", [])):
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long")
+        for stage, f in corpus_pipeline.STAGES:
+            columns = docs.columns
+            docs = written(f(spark, docs, str(tmp_path)), f"test-{name}-{stage}")
+            if stage == "packing":
+                break
+            assert docs.columns == columns
+            if stage == "jaccard_join":
+                ids = [r["doc_id"] for r in docs.collect()]
+                reached = jaccard([r[:2] for r in rows])
+                assert sorted(i for i in ids if i is not None) == (sorted(i for i, (_, c, _) in reached.items() if c == i) if some else [])
+                assert ids.count(None) == bool(some)
+        assert (docs.count() > 0) == bool(some)

@@ -82,3 +82,26 @@ def test_stage_cuts_texts(spark):
             assert i not in kept
         else:
             assert (kept[i] or "") == left and (text is None) == (kept[i] is None)
+
+
+def test_polynomials_that_collide_are_told_apart(spark, monkeypatch):
+    """With a polynomial that calls everything equal the digests' other half still keeps contexts apart."""
+    real = S.range_hash
+    monkeypatch.setattr(S, "range_hash", lambda prefix, a, b: real(prefix, a, b) * np.uint64(0))
+    rng = random.Random(2)
+    rows = [(k, "".join(rng.choice("ab") for _ in range(140)) + "shared passage of some length, " * 5) for k in range(12)]
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    _, first, last, grams, context, check = S.anchors(data, np.arange(len(data) - S.LENGTH + 1))
+    names = {}
+    for a, b, g, c, d in zip(first.tolist(), last.tolist(), grams.tolist(), context.tolist(), check.tolist()):
+        assert names.setdefault((g, c, d), data[a : b + S.LENGTH].tobytes()) == data[a : b + S.LENGTH].tobytes()
+    assert len({n[1:] for n in names}) == len(names)
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = sorted(map(str, con.execute(S.SQL).fetchall()))
+    assert sorted(str(tuple(r)) for r in S.query(spark, "/root/testdata/sf0.001").collect()) == want
