@@ -13,6 +13,9 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("root", help="folder or URI of the catalog")
     parser.add_argument("--new", action="store_true", help="create the catalog; an error if there is one")
     parser.add_argument("-c", "--command", help="run one command; a missing semicolon is added")
+    parser.add_argument("--index", action="append", metavar="PATH", help="index the files at or below a path; several paths make one dataset each, in one job")
+    parser.add_argument("--types", default="gram3,text4,wide8,hash4", help="with --index: index types, separated by commas")
+    parser.add_argument("--taint", action="append", default=[], help="with --index: a tag of the new datasets")
     parser.add_argument("--compact", choices=["all", "smart"], help="compact until nothing is merged")
     parser.add_argument("--trim", action="store_true", help="list folders that the catalog doesn't know")
     parser.add_argument("--remove", action="store_true", help="with --trim: remove them")
@@ -22,15 +25,23 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
 
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from trigrove.operators.catalog import Catalog
     from trigrove.operators.engine import Engine
+    from trigrove.sources.files import scan
     from trigrove.sources.storage import Storage
 
     spark = SparkSession.builder.appName("trigrove").getOrCreate()
     if args.new:
         Catalog.create(Storage(spark, args.root))
     engine = Engine(spark, args.root)
+    if args.index:
+        found, types = None, [t for t in args.types.split(",") if t]
+        for path in args.index:
+            one = scan(spark, [path]).withColumn("name", F.lit(engine.catalog.fresh_id()))
+            found = one if found is None else found.unionByName(one)
+        print("datasets", *engine.index_many(found, types, lambda _: args.taint))
     if args.compact:
         print(engine.compact_fully(args.compact == "smart"), "merges")
     if args.trim:
@@ -43,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
             engine.execute(f'dataset "{name}" drop;')
     if args.command:
         return show(engine, args.command, args.json)
-    if not (args.new or args.compact or args.trim or args.bench):
+    if not (args.new or args.index or args.compact or args.trim or args.bench):
         for line in sys.stdin:
             if line.strip():
                 show(engine, line.strip(), args.json)
