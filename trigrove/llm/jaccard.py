@@ -393,25 +393,29 @@ def exact_links(sets: DataFrame, members: DataFrame) -> DataFrame:
     blocks, and every pair of blocks is compared once, so however large a group is, a task holds two blocks.
     """
     step = math.log(100 / PERCENT)
-    rows = sets.select("rid", "shingles").join(growing(members), "rid").withColumn("class", F.floor(F.log("n") / step).cast("int"))
-    rows = written(rows, "jaccard-compared")
+    members = members.withColumn("class", F.floor(F.log("n") / step).cast("int"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / HASHES)).cast("int")
-    counts = rows.groupBy("grp", "class").agg(blocks.alias("blocks"))
-    counts = written(counts, "jaccard-classes")
-    home = rows.join(growing(counts), ["grp", "class"])
-    mine = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    kept = ["rid", "copies", "shingles"]
-    inside = home.withColumn("mine", mine).withColumn("other", other).select(
-        "grp", "class", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), F.col("mine").alias("side"), *kept)
-    # to the next class as visitors, where there is one
-    above = counts.select("grp", (F.col("class") - 1).alias("class"), F.col("blocks").alias("there"))
-    visiting = home.join(growing(above), ["grp", "class"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("there") - 1))).select(
-        "grp", (F.col("class") + 1).alias("class"), (-1 - F.col("mine")).alias("low"), F.col("other").alias("high"), (-1 - F.col("mine")).alias("side"), *kept)
-    own = home.withColumn("mine", mine).join(counts.select("grp", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below")).hint("merge"), ["grp", "class"])
-    visited = own.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("below") - 1))).select(
-        "grp", "class", (-1 - F.col("low")).alias("low"), F.col("mine").alias("high"), F.col("mine").alias("side"), *kept)
-    jobs = inside.unionByName(visiting).unionByName(visited)
+    counts = written(members.groupBy("grp", "class").agg(blocks.alias("blocks")), "jaccard-classes")
+    # written with its neighbours' blocks, so that the join with the members has two plain exchanges: Spark splits a large group's rows
+    near = counts
+    for name, shift in (("above", -1), ("below", 1)):
+        near = near.join(growing(counts.select("grp", (F.col("class") + shift).alias("class"), F.col("blocks").alias(name))), ["grp", "class"], "left")
+    near = written(near, "jaccard-neighbours")
+    placed = members.join(growing(near), ["grp", "class"]).withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    mine, visitor = F.col("mine"), -1 - F.col("mine")
+
+    def visits(others: str, up: int, low, high, side):
+        """A job with each of the ``others`` blocks; none where there is no such class."""
+        at = (F.col("class") + up).alias("class")
+        each = F.transform(F.sequence(F.lit(0), F.col(others) - 1), lambda x: F.struct(at, low(x).alias("low"), high(x).alias("high"), side.alias("side")))
+        return F.coalesce(each, F.array())
+
+    inside = visits("blocks", 0, lambda x: F.least(mine, x), lambda x: F.greatest(mine, x), mine)
+    visiting = visits("above", 1, lambda x: visitor, lambda x: x, visitor)
+    visited = visits("below", 0, lambda x: -1 - x, lambda x: mine, mine)
+    placed = placed.select("rid", "copies", "grp", F.concat(inside, visiting, visited).alias("jobs"))
+    # the sets move once to their members' rows and then to their jobs
+    jobs = sets.select("rid", "shingles").join(growing(placed), "rid").withColumn("job", F.explode("jobs")).select("grp", "job.*", "rid", "copies", "shingles")
 
     def run(batches):
         target = arrow_schema("a long, b long, links long")
@@ -454,7 +458,7 @@ def exact_links(sets: DataFrame, members: DataFrame) -> DataFrame:
 
     sorted_jobs = jobs.repartition("grp", "class", "low", "high").sortWithinPartitions("grp", "class", "low", "high", "rid")
     links = written(sorted_jobs.mapInArrow(run, "a long, b long, links long"), "jaccard-links")
-    delete(rows, counts)
+    delete(counts, near)
     return links
 
 
