@@ -109,6 +109,7 @@ def frequent_shingles(sets: DataFrame, most: int = HOT, least: int = LEAST) -> n
         return np.zeros(0, np.uint64)
     top = total.where(F.floor(F.log("n") / math.log(1.1)) >= cut_off).toPandas()  # at most HOT rows
     top = top.sort_values(["n", "shingle"])
+    delete(total)
     return top["shingle"].to_numpy(np.int64).view(np.uint64)
 
 
@@ -462,7 +463,7 @@ def exact_links(sets: DataFrame, members: DataFrame) -> DataFrame:
     return links
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, behind: list[DataFrame] | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links and name (a hash of the text) of every document.
 
     n_shingles is the number of distinct shingles of WIDTH lower-cased (A-Z) words; a text of fewer words has one,
@@ -470,7 +471,7 @@ def joined(docs: DataFrame) -> DataFrame:
     doc_id reachable by links, a document without links being its own; n_links counts the documents linked directly,
     equal sets included. Documents without an id are kept with null component_id. Repeated rows count each for itself,
     and so do rows of one id with different texts, which may be in different components. Other columns are ignored; an
-    empty table gives no rows.
+    empty table gives no rows. The written tables that the result is read from are added to ``behind``.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -485,10 +486,14 @@ def joined(docs: DataFrame) -> DataFrame:
     counted = links.where("b IS NULL").groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("links"))
     told = classes.join(reached, "rid", "left").join(counted, "rid", "left")
     told = written(told.select("n", "sig1", "sig2", "least", F.coalesce("component", "rid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-told")
+    delete(classes, groups, links)
     firsts = written(told.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-firsts")
-    told = written(told.join(growing(firsts), "root").select("n", "sig1", "sig2", "component_id", "n_links"), "jaccard-answers")
+    answers = written(told.join(growing(firsts), "root").select("n", "sig1", "sig2", "component_id", "n_links"), "jaccard-answers")
+    delete(told, firsts)
+    if behind is not None:
+        behind += [own, answers]
     own_rows = own.select("doc_id", "name", "n", "sig1", "sig2")
-    out = own_rows.join(growing(told), ["n", "sig1", "sig2"], "left")
+    out = own_rows.join(growing(answers), ["n", "sig1", "sig2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "name")
 
 
@@ -501,7 +506,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of repeated rows one stays. Rows without an id stay, and so do those without words: neither links with anything.
     """
-    told = written(joined(docs), "jaccard-rows")
+    behind: list[DataFrame] = []
+    told = written(joined(docs, behind), "jaccard-rows")
+    delete(*behind)
     found = told.where("component_id = doc_id").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
     found = written(found, "jaccard-kept")
     columns = [F.col(f"`{c}`") for c in docs.columns]
