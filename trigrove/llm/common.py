@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import tempfile
@@ -89,6 +90,25 @@ KINDS = {
 }
 
 
+def released(f: Callable) -> Callable:
+    """f, a function for mapInArrow, that gives freed memory back to the system when its task ends.
+
+    Workers stay for the next task, and several of an idle executor would else hold what their largest batch took.
+    """
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return run
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     """Of a DDL string of the kinds above; needs no session, so tasks can call it."""
     return pa.schema([pa.field(name, KINDS[kind]) for name, kind in (x.split() for x in schema.split(","))])
@@ -108,7 +128,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | dict
                     yield pa.RecordBatch.from_arrays([as_arrow(columns[x.name], x.type) for x in target], schema=target)
 
     prepared(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
@@ -326,7 +346,7 @@ def contracted(edges: DataFrame) -> DataFrame:
             yield out()
 
     prepared(edges.sparkSession)
-    return edges.select("a", "b").mapInArrow(run, "u long, v long")
+    return edges.select("a", "b").mapInArrow(released(run), "u long, v long")
 
 
 def components(spark: SparkSession, links: DataFrame, name: str) -> DataFrame:

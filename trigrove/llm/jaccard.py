@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, components, contracted, cut, delete, growing, map_arrow, mix, read, shingles, text_bytes, written
+from trigrove.llm.common import arrow_schema, components, contracted, cut, delete, growing, map_arrow, mix, read, released, shingles, text_bytes, written
 
 #: Link at 100 * intersection >= PERCENT * union of shingles of WIDTH words.
 PERCENT, WIDTH = 75, 5
@@ -95,7 +95,7 @@ def frequent_shingles(sets: DataFrame, most: int = HOT, least: int = LEAST) -> n
         if (got := out()) is not None:
             yield got
 
-    total = sets.select("shingles").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    total = sets.select("shingles").mapInArrow(released(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     total = written(total, "jaccard-frequent")
     # the least count of which there are no more than ``most``, from counts by powers of 1.1
     steps = total.groupBy(F.floor(F.log("n") / math.log(1.1)).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
@@ -288,7 +288,7 @@ def candidate_groups(reps: DataFrame, keys: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in range(2)], schema=target)
 
-    edges = jobs.repartition(*JOB).sortWithinPartitions(*JOB, "rid").mapInArrow(run, "a long, b long")
+    edges = jobs.repartition(*JOB).sortWithinPartitions(*JOB, "rid").mapInArrow(released(run), "a long, b long")
     if stars is not None:
         edges = edges.unionByName(stars)
     found = components(spark, edges, "jaccard-candidates")
@@ -458,7 +458,7 @@ def exact_links(sets: DataFrame, members: DataFrame) -> DataFrame:
             yield batch_out()
 
     sorted_jobs = jobs.repartition("grp", "class", "low", "high").sortWithinPartitions("grp", "class", "low", "high", "rid")
-    links = written(sorted_jobs.mapInArrow(run, "a long, b long, links long"), "jaccard-links")
+    links = written(sorted_jobs.mapInArrow(released(run), "a long, b long, links long"), "jaccard-links")
     delete(counts, near)
     return links
 

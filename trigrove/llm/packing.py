@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, read, written
+from trigrove.llm.common import arrow_schema, read, released, written
 from trigrove.llm.mixing import WORD
 
 CAPACITY = 2048
@@ -126,7 +126,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOUR
             )
 
     ordered = rest.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("rest"), "draw", "doc_id")
-    return ordered.mapInArrow(run, SCHEMA).unionByName(whole).unionByName(empty)
+    return ordered.mapInArrow(released(run), SCHEMA).unionByName(whole).unionByName(empty)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

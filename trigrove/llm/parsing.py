@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import CHUNK_BYTES, arrow_schema, cut, mix, partitions, prefix_hash, range_hash, read, written
+from trigrove.llm.common import CHUNK_BYTES, arrow_schema, cut, mix, partitions, prefix_hash, range_hash, read, released, written
 
 #: Levels of the hierarchy, the levels whose phrase names are kept (phrases of about 9 and 27 bytes), slots, bits a slot.
 LEVELS, KEPT, SLOTS, BITS = 3, (2, 3), 64, 12
@@ -197,7 +197,7 @@ def fingerprinted(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
             yield got
 
     dealt = rows.mapInArrow(deal, "bucket int, ghost int, key long, draw long, doc_id long, text string").repartition("bucket")
-    return dealt.sortWithinPartitions("bucket", "ghost", F.desc("key"), F.desc("draw")).drop("key", "draw").mapInArrow(run, SCHEMA)
+    return dealt.sortWithinPartitions("bucket", "ghost", F.desc("key"), F.desc("draw")).drop("key", "draw").mapInArrow(released(run), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

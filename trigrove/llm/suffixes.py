@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import BASE, CHUNK_BYTES, arrow_schema, cut, delete, growing, mix, powers, prefix_hash, range_hash, range_names, read, text_bytes, written
+from trigrove.llm.common import BASE, CHUNK_BYTES, arrow_schema, cut, delete, growing, mix, powers, prefix_hash, range_hash, range_names, read, released, text_bytes, written
 
 #: Bytes of a repeated passage, at least, and of the grams whose least hash anchors a window of that length.
 LENGTH, GRAM = 100, 32
@@ -96,7 +96,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 halves = [pa.array(x.view(np.int64)) for x in (grams, context, check)]
                 yield pa.RecordBatch.from_arrays([*halves, pa.array(ids[of]), pa.array(first << 9 | more << 1 | again)], schema=target)
 
-    return docs.select("rid", "text").mapInArrow(run, "h long, c long, d long, rid long, at long")
+    return docs.select("rid", "text").mapInArrow(released(run), "h long, c long, d long, rid long, at long")
 
 
 class SuffixSorter:
@@ -236,7 +236,7 @@ def compared(contexts: DataFrame) -> DataFrame:
         if (got := out(True)) is not None:
             yield got
 
-    return contexts.repartition("h").sortWithinPartitions("h", "rid", "first").mapInArrow(run, "rid long, s long, e long")
+    return contexts.repartition("h").sortWithinPartitions("h", "rid", "first").mapInArrow(released(run), "rid long, s long, e long")
 
 
 def covers(docs: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def covers(docs: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), target)], schema=target)
 
-    contexts = fetched.mapInArrow(fetch, "h long, rid long, first long, context binary")
+    contexts = fetched.mapInArrow(released(fetch), "h long, rid long, first long, context binary")
     hot = sizes.limit(1).count() > 0
     if hot:
         contexts = written(contexts, "suffixes-contexts")
@@ -342,7 +342,7 @@ def digested(docs: DataFrame) -> DataFrame:
                 out.append((doc_id, len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(kept_bytes(data, gone)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), target)], schema=target) if out else pa.RecordBatch.from_pylist([], schema=target)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(released(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def kept_bytes(data: bytes, gone: list[list[int]]) -> bytes:

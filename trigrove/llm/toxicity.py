@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import CHUNK_BYTES, cut, map_arrow, prepared, read, sample_of
+from trigrove.llm.common import CHUNK_BYTES, cut, map_arrow, prepared, read, released, sample_of
 
 #: Labelled rows that the lexicon is learned from at most, and bytes of their texts (a sample by the id's hash; documented bounds).
 FIT_ROWS, FIT_BYTES = 12_000, 32 << 20
@@ -241,4 +241,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 clean = [lexicon.score(t) < 0.5 for t in part.column("text").to_pylist()]
                 yield part.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.mapInArrow(released(keep), docs.schema).select(*[F.col(f"`{c}`") for c in docs.columns])

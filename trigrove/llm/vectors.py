@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, components, delete, growing, mix, read, sample_of, written
+from trigrove.llm.common import arrow_schema, components, delete, growing, mix, read, released, sample_of, written
 
 THRESHOLD = 0.95
 #: Vectors that centroids and codebooks are fitted on at most (the smallest hashes; a documented bound).
@@ -154,7 +154,7 @@ def pairs(reps: DataFrame, index: Index, threshold: float = THRESHOLD, block_row
                 far = np.sqrt(((u - index.coarse[own]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(far, pa.float64()), *(batch.column(k) for k in ("rep", "n", "embedding"))], schema=target)
 
-    rows = written(reps.select("rep", "n", "embedding").mapInArrow(settle, "list int, far double, rep long, n long, embedding array<double>"), "vectors-lists")
+    rows = written(reps.select("rep", "n", "embedding").mapInArrow(released(settle), "list int, far double, rep long, n long, embedding array<double>"), "vectors-lists")
     radius, size = np.zeros(len(index.coarse), np.float32), np.zeros(len(index.coarse), np.int64)
     for r in rows.groupBy("list").agg(F.max("far").alias("far"), F.count("*").alias("size")).collect():  # at most a row for each list
         radius[r["list"]], size[r["list"]] = r["far"], r["size"]
@@ -306,8 +306,8 @@ def pairs(reps: DataFrame, index: Index, threshold: float = THRESHOLD, block_row
         if own is not None:
             yield counted(own[1], own[-1])
 
-    dealt = rows.select("list", "rep", "n", "embedding").mapInArrow(spread, ROWS)
-    found = written(dealt.repartition("block").sortWithinPartitions("block", "role").mapInArrow(compare, "a long, b long, n long"), "vectors-links")
+    dealt = rows.select("list", "rep", "n", "embedding").mapInArrow(released(spread), ROWS)
+    found = written(dealt.repartition("block").sortWithinPartitions("block", "role").mapInArrow(released(compare), "a long, b long, n long"), "vectors-links")
     delete(rows)
     return found
 

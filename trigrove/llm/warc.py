@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, fresh_path, growing, read, written
+from trigrove.llm.common import arrow_schema, fresh_path, growing, read, released, written
 
 #: Payloads of fewer bytes are always stored whole.
 LEAST_REVISIT = 1000
@@ -114,7 +114,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), target)], schema=target)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
-    return files.select("content").mapInArrow(records, schema)
+    return files.select("content").mapInArrow(released(records), schema)
 
 
 def resolve(records: DataFrame) -> DataFrame:
