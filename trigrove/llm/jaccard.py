@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import arrow_schema, components, contracted, cut, delete, growing, map_arrow, mix, read, released, shingles, text_bytes, written
+from trigrove.llm.common import arrow_schema, components, contracted, cut, delete, growing, map_arrow, mix, prefiltered, read, released, shingles, text_bytes, written
 
 #: Link at 100 * intersection >= PERCENT * union of shingles of WIDTH words.
 PERCENT, WIDTH = 75, 5
@@ -414,9 +414,9 @@ def exact_links(sets: DataFrame, members: DataFrame) -> DataFrame:
     inside = visits("blocks", 0, lambda x: F.least(mine, x), lambda x: F.greatest(mine, x), mine)
     visiting = visits("above", 1, lambda x: visitor, lambda x: x, visitor)
     visited = visits("below", 0, lambda x: -1 - x, lambda x: mine, mine)
-    placed = placed.select("rid", "copies", "grp", F.concat(inside, visiting, visited).alias("jobs"))
-    # the sets move once to their members' rows and then to their jobs
-    jobs = sets.select("rid", "shingles").join(growing(placed), "rid").withColumn("job", F.explode("jobs")).select("grp", "job.*", "rid", "copies", "shingles")
+    placed = written(placed.select("rid", "copies", "grp", F.concat(inside, visiting, visited).alias("jobs")), "jaccard-places")
+    # the members' sets move once to their members' rows and then to their jobs; the condition lets Spark filter the others before
+    jobs = sets.select("rid", "shingles").join(growing(placed.where("rid >= 0")), "rid").withColumn("job", F.explode("jobs")).select("grp", "job.*", "rid", "copies", "shingles")
 
     def run(batches):
         target = arrow_schema("a long, b long, links long")
@@ -458,8 +458,9 @@ def exact_links(sets: DataFrame, members: DataFrame) -> DataFrame:
             yield batch_out()
 
     sorted_jobs = jobs.repartition("grp", "class", "low", "high").sortWithinPartitions("grp", "class", "low", "high", "rid")
-    links = written(sorted_jobs.mapInArrow(released(run), "a long, b long, links long"), "jaccard-links")
-    delete(counts, near)
+    with prefiltered(sets.sparkSession):
+        links = written(sorted_jobs.mapInArrow(released(run), "a long, b long, links long"), "jaccard-links")
+    delete(counts, near, placed)
     return links
 
 
