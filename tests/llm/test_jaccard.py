@@ -151,3 +151,16 @@ def test_stage_keeps_one_of_each_group(spark):
     reached = jaccard([r[:2] for r in awkward()])
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c, _) in reached.items() if c == i)
     assert kept.columns == table(spark).columns
+
+
+def test_sets_are_filtered_before_their_shuffle(spark):
+    """The filter is in the plan, lets all members through and leaves the session's settings as they were."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    large = common.written(spark.range(0, 20_000).selectExpr("id AS rid", "hash(id) AS v"), "test-large")
+    small = common.written(spark.range(0, 20_000, 500).selectExpr("id AS rid"), "test-small")
+    with common.prefiltered(spark):
+        joined = large.join(common.growing(small.where("rid >= 0")), "rid")
+        assert "might_contain" in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["rid"] for r in joined.collect()) == list(range(0, 20_000, 500))
+    assert spark.conf.get(key) == before
