@@ -2,6 +2,8 @@ import random
 import threading
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
@@ -353,6 +355,39 @@ def test_queries_equal_sql(spark, name):
     assert got == want
 
 
+def equals_sql(spark, name, folder):
+    """A query's rows over a folder's documents are its SQL's, and there are some."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    result = con.execute(registry.oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    want = sorted(map(str, result.fetchall()))
+    got = sorted(str(tuple(r[c] for c in columns)) for r in registry.queries()[name](spark, str(folder)).collect())
+    return len(want) > 0 and got == want
+
+
+@pytest.fixture
+def documents(tmp_path):
+    """Writes a table of documents of these sources and languages, with longer ids first."""
+
+    def write(rows, text="the of it"):
+        ids = range(len(rows) + 5, 5, -1)  # 9 comes after 10 in the order of paths
+        table = {"doc_id": list(ids), "text": [text] * len(rows), "source": [s for s, _ in rows], "lang": [l for _, l in rows]}
+        pq.write_table(pa.table(table, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("source", pa.string()), ("lang", pa.string())])), tmp_path / "documents.parquet")
+        return tmp_path
+
+    return write
+
+
+def test_compact_remap_of_large_contents(spark, monkeypatch):
+    monkeypatch.setattr("trigrove.operators.engine.SPREAD", 16384)  # more than this for each core, as 1 GB is
+    assert equals_sql(spark, "compact_remap", SF)
+
+
+def test_compact_remap_orders_equal_sizes_by_source(spark, documents):
+    assert equals_sql(spark, "compact_remap", documents([(s, "en") for s in ("a", "a-b", None, "", "a/b", "B") for _ in range(3)] + [("a", "x/en"), ("a", None)]))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["doc_id"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

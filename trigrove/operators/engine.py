@@ -19,8 +19,8 @@ from trigrove.sources import files as sources
 from trigrove.sources.storage import Storage
 
 
-#: Bytes a core up to which contents are dealt out anew before they are indexed.
-SPREAD = 64 << 20
+#: Bytes of a range of contents that a task indexes, about. From UNKNOWN on an estimate only says that Spark has none.
+SPREAD, UNKNOWN = 64 << 20, 1 << 50
 
 
 def in_order(df: DataFrame, *columns: str, name: str, at: str) -> DataFrame:
@@ -126,8 +126,8 @@ class Engine:
     def _build(self, task: Task, snapshot: dict, found: DataFrame, types: list[str], named: dict[str, list[str]], check: bool, table: str) -> list[str]:
         """Datasets of (ds, path, content), the k-th of ``named`` (id to tags) of the rows with ds = k.
 
-        Contents are read once, where they lie: a scan gives every file a number within its task and its postings in blocks,
-        and only these are shuffled. Numbers become ids by adding the files of the tasks before.
+        Contents are dealt out in the order of paths, so ids follow it. A scan of each range gives every file a number within its
+        task and its postings in blocks; from there on only these are shuffled. Numbers become ids by adding the files of the tasks before.
         """
         if check and snapshot["datasets"]:
             found = found.join(self.files(snapshot["datasets"], snapshot).select("path"), "path", "left_anti")
@@ -155,15 +155,14 @@ class Engine:
         return list(entries)
 
     def _spread(self, found: DataFrame) -> DataFrame:
-        """Little data, whose scan may have fewer tasks than there are cores, dealt out to all of them in the order of paths.
-
-        More than SPREAD bytes a core stay where they are scanned.
-        """
+        """Contents in the order of paths, which ids follow whatever their size: in ranges of about SPREAD bytes, for all cores at least."""
         size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        cores = self.spark.sparkContext.defaultParallelism
-        if size > SPREAD * cores:
-            return found
-        dealt = found.repartitionByRange(cores, "ds", "path") if size > SPREAD // 64 else found.coalesce(1)
+        if size <= SPREAD // 64:
+            dealt = found.coalesce(1)
+        elif size < UNKNOWN:
+            dealt = found.repartitionByRange(max(self.spark.sparkContext.defaultParallelism, -(-size // SPREAD)), "ds", "path")
+        else:
+            dealt = found.repartitionByRange("ds", "path")
         return dealt.sortWithinPartitions("ds", "path")
 
     def _partitions(self) -> int:

@@ -241,8 +241,10 @@ def _counts(spark, sf_dir) -> dict[str, dict]:
 
 
 def _english(spark, sf_dir) -> Engine:
-    e = fresh(spark, sf_dir)
-    e.index_many(contents(spark, sf_dir).where(F.col("name").endswith("/en")), ["gram3"], tag_of)
+    """The English documents, a dataset for each source; ids sort as sources do, and null comes last."""
+    e, english = fresh(spark, sf_dir), documents(spark, sf_dir).where(F.col("lang") == "en")
+    name = F.coalesce(F.concat(F.lit("s/"), "source"), F.lit("t"))
+    e.index_many(english.select(name.alias("name"), F.col("doc_id").cast("string").alias("path"), content_of("gram3").alias("content")), ["gram3"], lambda _: ["en"])
     e.execute('config set "merge_max_datasets" 1024;')
     return e
 
