@@ -384,6 +384,12 @@ def test_compact_remap_of_large_contents(spark, monkeypatch):
     assert equals_sql(spark, "compact_remap", SF)
 
 
+def test_cursor_page_of_large_contents(spark, monkeypatch):
+    monkeypatch.setattr("trigrove.operators.engine.SPREAD", 16384)
+    monkeypatch.setattr(registry, "_BUILT", {})
+    assert equals_sql(spark, "cursor_page", SF)
+
+
 def test_compact_remap_orders_equal_sizes_by_source(spark, documents):
     assert equals_sql(spark, "compact_remap", documents([(s, "en") for s in ("a", "a-b", None, "", "a/b", "B") for _ in range(3)] + [("a", "x/en"), ("a", None)]))
 
