@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 from trigrove.operators import compaction
-from trigrove.operators.catalog import Catalog, CatalogError, Locked, changed, upgraded
+from trigrove.operators.catalog import CONFIG, Catalog, CatalogError, Locked, changed, upgraded
 from trigrove.operators.engine import Engine
 from trigrove.plans import compiler, registry
 from trigrove.plans.parser import parse_query
@@ -394,6 +394,26 @@ def test_compact_remap_orders_equal_sizes_by_source(spark, documents):
     assert equals_sql(spark, "compact_remap", documents([(s, "en") for s in ("a", "a-b", None, "", "a/b", "B") for _ in range(3)] + [("a", "x/en"), ("a", None)]))
 
 
+def test_compact_remap_merges_all_datasets(spark, documents):
+    assert equals_sql(spark, "compact_remap", documents([(f"s{k % 1100}", "en") for k in range(1130)]))  # merge_max_datasets is 1024 at most
+
+
+def test_compact_remap_merges_any_number_of_files(spark, documents, monkeypatch):
+    monkeypatch.setitem(CONFIG, "merge_max_files", (7, 1, 4294967295))
+    assert equals_sql(spark, "compact_remap", documents([(s, "en") for s in "abc" for _ in range(4)]))
+
+
+def test_compacting_as_a_whole_leaves_the_limits_to_commands(engine, put):
+    for k in range(4):
+        engine.execute(f'index "{put(f"d{k}", **{f"f{k}": b"abcdef"})}" with [gram3];')
+    engine.execute('config set "merge_max_datasets" 2;')
+    engine.execute("compact all;")
+    assert sorted(d["file_count"] for d in engine.catalog.manifest["datasets"].values()) == [1, 1, 2]
+    assert engine.compact(whole=True) is not None
+    assert [d["file_count"] for d in engine.catalog.manifest["datasets"].values()] == [4]
+    assert ask(engine, '"abcd"') == ["f0", "f1", "f2", "f3"]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["doc_id"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

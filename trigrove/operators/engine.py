@@ -197,12 +197,16 @@ class Engine:
             task.changes.insert(0, ("drop", name))
             return new
 
-    def compact(self, smart: bool = False) -> str | None:
-        """Merges the best group of datasets, if there is one: file ids move by the files before them."""
+    def compact(self, smart: bool = False, whole: bool = False) -> str | None:
+        """Merges the best group of datasets, if there is one: file ids move by the files before them.
+
+        The configured limits bound what one merge takes; ``whole`` merges all of the group at once, however large it is.
+        """
         chosen: list[str] = []
 
         def locks(snapshot: dict):
-            chosen.extend(compaction.choose(snapshot["datasets"], smart, self.catalog.config("merge_max_datasets"), self.catalog.config("merge_max_files"), lambda n: self.catalog.locked("dataset", n)))
+            limits = (None, None) if whole else (self.catalog.config("merge_max_datasets"), self.catalog.config("merge_max_files"))
+            chosen.extend(compaction.choose(snapshot["datasets"], smart, *limits, lambda n: self.catalog.locked("dataset", n)))
             return {("dataset", n) for n in chosen}
 
         with self.catalog.task(f"compact {'smart' if smart else 'all'}", locks) as (task, snapshot):

@@ -245,21 +245,20 @@ def _english(spark, sf_dir) -> Engine:
     e, english = fresh(spark, sf_dir), documents(spark, sf_dir).where(F.col("lang") == "en")
     name = F.coalesce(F.concat(F.lit("s/"), "source"), F.lit("t"))
     e.index_many(english.select(name.alias("name"), F.col("doc_id").cast("string").alias("path"), content_of("gram3").alias("content")), ["gram3"], lambda _: ["en"])
-    e.execute('config set "merge_max_datasets" 1024;')
     return e
 
 
 def compact_remap(spark, sf_dir):
-    """Ids after the English datasets are compacted into one, from the smallest to the largest."""
+    """Ids after the English datasets are compacted into one, from the smallest to the largest, however many they are."""
     e = _english(spark, sf_dir)
-    e.execute("compact all;")
+    e.compact(whole=True)
     return e.files(e.catalog.manifest["datasets"]).select(F.col("path").cast("long").alias("doc_id"), "file_id")
 
 
 def compact_select(spark, sf_dir):
     """Candidates of a query after the same compaction."""
     e = _english(spark, sf_dir)
-    e.execute("compact all;")
+    e.compact(whole=True)
     return e.select(parse_query('"ouer" & ("retition" | "the of")')).select(F.col("path").cast("long").alias("doc_id"))
 
 
