@@ -390,6 +390,34 @@ def test_cursor_page_of_large_contents(spark, monkeypatch):
     assert equals_sql(spark, "cursor_page", SF)
 
 
+def test_ids_follow_paths_whatever_the_size(spark, engine, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"p{k}", b"the of it") for k in range(300, 0, -1)], "path string, content binary")  # of unknown size
+    rows.repartition(5).write.parquet((tmp_path / "rows").as_uri())
+    stored = spark.read.parquet((tmp_path / "rows").as_uri())
+    for found, bytes_of_range in ((rows, 64 << 20), (stored, 1 << 30), (stored, 4096), (stored, 256)):
+        monkeypatch.setattr("trigrove.operators.engine.SPREAD", bytes_of_range)
+        name = engine.index(found, ["gram3"], check=False)
+        assert [r["path"] for r in engine.files([name]).orderBy("file_id").collect()] == sorted(f"p{k}" for k in range(1, 301))
+
+
+@pytest.mark.parametrize("n", [20, 21, 60])
+def test_cursor_page_ends_with_the_cursor(spark, documents, n):
+    assert len(registry.cursor_page(spark, str(documents([("a", "en")] * n))).collect()) == min(25, n - 20)
+
+
+def test_cursor_page_tells_a_failure(spark, documents, monkeypatch):
+    do = Engine._do_iterator
+
+    def second_is_locked(self, c, *rest):
+        if c.number == 25:
+            raise Locked
+        return do(self, c, *rest)
+
+    monkeypatch.setattr(Engine, "_do_iterator", second_is_locked)
+    with pytest.raises(KeyError):
+        registry.cursor_page(spark, str(documents([("a", "en")] * 30)))
+
+
 def test_compact_remap_orders_equal_sizes_by_source(spark, documents):
     assert equals_sql(spark, "compact_remap", documents([(s, "en") for s in ("a", "a-b", None, "", "a/b", "B") for _ in range(3)] + [("a", "x/en"), ("a", None)]))
 

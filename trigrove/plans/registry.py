@@ -214,13 +214,13 @@ def plan_rewrite_equivalence(spark, sf_dir):
 
 
 def cursor_page(spark, sf_dir):
-    """The second page of a cursor: 20 files are popped, then 25 more."""
+    """The second page of a cursor: 20 files are popped, then 25 more; a cursor of no more than 20 is gone by then."""
     e = engine(spark, sf_dir)
     name = e.execute('select into iterator "the of";')["result"]["iterator"]
-    e.execute(f'iterator "{name}" pop 20;')
-    page = e.execute(f'iterator "{name}" pop 25;')
-    rows = [(20 + k, int(path)) for k, path in enumerate(page["result"]["files"])] if page["type"] == "select" else []
-    return spark.createDataFrame(rows, "place long, doc_id long")
+    first = e.execute(f'iterator "{name}" pop 20;')["result"]
+    more = first["iterator_position"] < first["total_files"]
+    page = e.execute(f'iterator "{name}" pop 25;')["result"]["files"] if more else []
+    return spark.createDataFrame([(20 + k, int(path)) for k, path in enumerate(page)], "place long, doc_id long")
 
 
 def topology(spark, sf_dir):
