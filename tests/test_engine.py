@@ -418,6 +418,17 @@ def test_cursor_page_tells_a_failure(spark, documents, monkeypatch):
         registry.cursor_page(spark, str(documents([("a", "en")] * 30)))
 
 
+def test_cursor_page_puts_documents_without_source_or_language_last(spark, documents):
+    assert equals_sql(spark, "cursor_page", documents([(None, "de"), ("a", None), (None, None), ("t", "en")] * 11))
+
+
+def test_cursor_page_puts_documents_without_id_last_in_their_dataset(spark, tmp_path):
+    ids = [None if k % 4 == 0 else k - 30 for k in range(60)]
+    table = {"doc_id": ids, "text": ["the of it"] * 60, "source": [["a", "b", None][k % 3] for k in range(60)], "lang": ["en"] * 60}
+    pq.write_table(pa.table(table, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("source", pa.string()), ("lang", pa.string())])), tmp_path / "documents.parquet")
+    assert equals_sql(spark, "cursor_page", tmp_path)
+
+
 def test_compact_remap_orders_equal_sizes_by_source(spark, documents):
     assert equals_sql(spark, "compact_remap", documents([(s, "en") for s in ("a", "a-b", None, "", "a/b", "B") for _ in range(3)] + [("a", "x/en"), ("a", None)]))
 

@@ -213,14 +213,33 @@ def plan_rewrite_equivalence(spark, sf_dir):
     return both.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("different"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("equal"))
 
 
+#: The path of documents without an id: it sorts after all numbers.
+NO_ID = "~"
+
+
+def cursor_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine whose cursors follow SQL's order: documents without a source or language come last, those without an id last in their dataset.
+
+    Where every document has all three, the session's engine is in that order.
+    """
+    key, rows = (spark.sparkContext.applicationId, sf_dir, "cursors"), documents(spark, sf_dir)
+    if key not in _BUILT:
+        if rows.where(F.col("source").isNull() | F.col("lang").isNull() | F.col("doc_id").isNull()).isEmpty():
+            return engine(spark, sf_dir)
+        e, name = fresh(spark, sf_dir), F.coalesce(F.concat(F.lit("s/"), "source", F.lit("/"), "lang"), F.lit("t"))
+        e.index_many(rows.select(name.alias("name"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID)).alias("path"), content_of("gram3").alias("content")))
+        _BUILT[key] = e
+    return _BUILT[key]
+
+
 def cursor_page(spark, sf_dir):
     """The second page of a cursor: 20 files are popped, then 25 more; a cursor of no more than 20 is gone by then."""
-    e = engine(spark, sf_dir)
+    e = cursor_engine(spark, sf_dir)
     name = e.execute('select into iterator "the of";')["result"]["iterator"]
     first = e.execute(f'iterator "{name}" pop 20;')["result"]
     more = first["iterator_position"] < first["total_files"]
     page = e.execute(f'iterator "{name}" pop 25;')["result"]["files"] if more else []
-    return spark.createDataFrame([(20 + k, int(path)) for k, path in enumerate(page)], "place long, doc_id long")
+    return spark.createDataFrame([(20 + k, None if path == NO_ID else int(path)) for k, path in enumerate(page)], "place long, doc_id long")
 
 
 def topology(spark, sf_dir):
